@@ -1,9 +1,9 @@
 """Operator 1: byte-level BPE by a lazily determinised finite-state transducer, and streaming decode.
 
-A token sequence is the encoding of its bytes exactly if every two neighbours are the encoding of theirs. This gives a
-nondeterministic transducer: a path guesses where tokens end, and goes on only where neighbours agree. Subset construction makes it
-deterministic: a state is the set of live guesses, each with the tokens that not all guesses share yet. What all share is emitted at once, so
-a token leaves after a lookahead bounded by the guesses still alive. States are made when first reached and kept up to a bound.
+A token sequence is the encoding of its bytes exactly if every two neighbours are the encoding of theirs, so every prefix has one last token. The
+tokens' trie, begun anew at each byte, is a nondeterministic machine for where tokens end; subset construction makes it deterministic,
+state by state when first reached. On each byte the transducer takes the one ending token that agrees with the last token before its start.
+Tokens that all starts still open share are settled: a token is emitted after a lookahead bounded by the longest token.
 
 Nulls and empty texts give no tokens. Texts of any length go through in one pass; repeated rows give repeated rows; other columns are ignored.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from hushframe.llm.common import Kept, arrow_map, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: States and agreed pairs that are kept; beyond it each table starts anew.
-STATES, PAIRS = 100_000, 500_000
+#: States and agreed pairs that are kept; beyond it each table starts anew. Bytes of one match after which settled tokens are emitted.
+STATES, PAIRS, SETTLE = 150_000, 1_000_000, 4096
 #: What the pattern's \s means there: Unicode White_Space, which leaves out U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -41,7 +41,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {r: b for b, r in ranks.items()}
         self.child: list[dict[int, int]] = [{}]  # the trie of all tokens
-        self.token: list[int] = [-1]
+        self.token, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -49,18 +49,19 @@ class Transducer:
                     nxt = self.child[node][byte] = len(self.child)
                     self.child.append({})
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = rank
-        self.agreed: dict[tuple[int, int], bool] = {}
+        self.agreed: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int]] = {}
         self.restart()
 
     def restart(self) -> None:
-        """Forget all states but the first: one guess, between tokens, nothing before it."""
-        first = (((-1, 0, ()),))
-        self.states: list[tuple] = [first]
-        self.number: dict[tuple, int] = {first: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        """Forget all states but the first, in which no token is begun."""
+        self.states: list[tuple[int, ...]] = [()]  # live trie nodes, longest first
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]  # tokens that end here and their bytes
+        self.number: dict[tuple[int, ...], int] = {(): 0}
+        self.moves: list[dict[int, int]] = [{}]
 
     def merge(self, piece: bytes, parts_left: int = 1) -> list[int]:
         """Merges by their definition, for the bytes of one token; ends at so many parts."""
@@ -95,64 +96,73 @@ class Transducer:
                 before, right = right + 1, self.halves(right)[0]
 
     def neighbours(self, left: int, right: int) -> bool:
-        if left < 0:
-            return True
-        known = self.agreed.get((left, right))
+        key = left << 20 | right
+        known = self.agreed.get(key)
         if known is None:
             if len(self.agreed) >= PAIRS:
                 self.agreed.clear()
-            known = self.agreed[left, right] = self.agree(left, right)
+            known = self.agreed[key] = self.agree(left, right)
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make a transition that wasn't taken before: the next state and the tokens all its guesses share."""
-        found = {}
-        for last, node, owed in self.states[state]:
-            if (nxt := self.child[node].get(byte)) is None:
-                continue
-            if self.child[nxt]:
-                found[last, nxt] = owed
-            token = self.token[nxt]
-            if token >= 0 and self.neighbours(last, token):
-                found[token, 0] = (*owed, token)
-        owing = list(found.values())
-        shared = 0
-        if owing:
-            shortest = min(map(len, owing))
-            while shared < shortest and all(o[shared] == owing[0][shared] for o in owing):
-                shared += 1
-        emitted = owing[0][:shared] if owing else ()
-        guesses = tuple(sorted((*k, o[shared:]) for k, o in found.items()))
-        to = self.number.get(guesses)
-        if to is None:
-            to = self.number[guesses] = len(self.states)
-            self.states.append(guesses)
+    def number_of(self, live: tuple[int, ...]) -> int:
+        if (known := self.number.get(live)) is None:
+            known = self.number[live] = len(self.states)
+            self.states.append(live)
+            self.ends.append(tuple((t, len(self.bytes_of[t])) for t in map(self.token.__getitem__, live) if t >= 0))
             self.moves.append({})
-        self.moves[state][byte] = (to, emitted)
-        return to, emitted
+        return known
 
-    def stream(self, data: bytes) -> Iterator[tuple[int, ...]]:
-        """Tokens as soon as they are settled."""
-        if len(self.states) > STATES:
+    def move(self, state: int, byte: int) -> int:
+        """Make a transition that wasn't taken before."""
+        live = self.states[state]
+        if len(self.states) > STATES:  # go on from the live nodes alone
             self.restart()
-        state, moves = 0, self.moves
+            state = self.number_of(live)
+        to = self.number_of(tuple(n for n in (self.child[m].get(byte, 0) for m in (*live, 0)) if n))
+        self.moves[state][byte] = to
+        return to
+
+    def settled(self, last: list[int], starts: list[int]) -> int:
+        """The latest token border that the encodings up to all these positions share."""
+        borders: set[int] | None = None
+        for at in starts:
+            chain_, k = {at}, at
+            while k > 0:
+                k -= len(self.bytes_of[last[k]])
+                chain_.add(k)
+            borders = chain_ if borders is None else borders & chain_
+        return max(borders)
+
+    def back(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= len(self.bytes_of[last[at]])
+        return out[::-1]
+
+    def stream(self, data: bytes) -> Iterator[list[int]]:
+        """Tokens as soon as they are settled, some at a time."""
+        last, state, agreed = [-1], 0, self.agreed
         for byte in data:
-            step = moves[state].get(byte)
-            if step is None:
-                if len(self.states) > STATES:  # go on from the live guesses alone
-                    live = self.states[state]
-                    self.restart()
-                    moves = self.moves
-                    if live not in self.number:
-                        self.number[live] = len(self.states)
-                        self.states.append(live)
-                        self.moves.append({})
-                    state = self.number[live]
-                step = self.move(state, byte)
-            state, emitted = step
-            if emitted:
-                yield emitted
-        yield next(owed for _, node, owed in self.states[state] if node == 0)
+            to = self.moves[state].get(byte)
+            state = self.move(state, byte) if to is None else to
+            at = len(last)
+            for token, size in self.ends[state]:
+                left = last[at - size] if size <= at else -2
+                if left < 0:
+                    if left == -1 and size == at:
+                        break
+                    continue
+                known = agreed.get(left << 20 | token)
+                if self.neighbours(left, token) if known is None else known:
+                    break
+            else:
+                raise ValueError("no token ends here")
+            last.append(token)
+            if at % SETTLE == 0 and (border := self.settled(last, [at, *(at - self.depth[n] for n in self.states[state])])):
+                yield self.back(last, border)
+                last = last[border:]
+        yield self.back(last, len(last) - 1)
 
     def encode(self, data: bytes) -> list[int]:
         return [token for some in self.stream(data) for token in some] if data else []
