@@ -1,6 +1,6 @@
 """Operator 4: a counterfactual-regularised toxicity classifier.
 
-Features are the words of a text and their first four and five letters, hashed. Counts of every feature over all training rows choose the most
+Features are the words of a text and their first three to six letters, hashed. Counts of every feature over all training rows choose the most
 telling ones (a bounded number); a logistic model is fitted on a bounded sample of the training rows. For each sampled text that names a
 group, a counterfactual is made by swapping each identity term for another, and the squared change of the score is penalised, so
 naming a group moves a score as little as the labels allow. Scoring reads every text whole.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import Kept, slices
 
 BITS = 20
-#: Features kept, rows of the fitting sample, weight of the swaps, ridge.
-FEATURES, SAMPLE, SWAPS, RIDGE = 8192, 20_000, 1.0, 1e-3
+#: Features kept at most, the chi-square each must reach, rows of the fitting sample, weight of the swaps, ridge.
+FEATURES, TELLING, SAMPLE, SWAPS, RIDGE = 8192, 20.0, 20_000, 1.0, 1e-4
 EDGE = ".,;:!?\"'()[]{}<>|*$%&#-_/\\…«»“”‘’¿¡"
 
 #: Identity terms by kind; a term is swapped for the next of its kind. Fixed values.
@@ -44,9 +44,9 @@ SWAP = {term: terms[(k + 1) % len(terms)] for terms in IDENTITY.values() for k,
 
 
 def features_of(token: str) -> tuple[int, ...]:
-    """Hashed features of a lower-case token: the word and its two beginnings."""
+    """Hashed features of a lower-case token: the word and its beginnings."""
     word = token.strip(EDGE)
-    parts = {"w:" + word} | {f"{n}:{word[:n]}" for n in (4, 5) if len(word) > n} if word else ()
+    parts = {"w:" + word} | {f"{n}:{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n} if word else ()
     return tuple(zlib.crc32(p.encode()) >> (32 - BITS) for p in parts)
 
 
@@ -81,7 +81,7 @@ def telling(rows: DataFrame, n: int = FEATURES) -> dict[int, int]:
     counts = rows.select("text", "y").mapInArrow(count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     off = (F.col("n1") * (t0 - F.col("n0")) - F.col("n0") * (t1 - F.col("n1"))).cast("double")
     chi = off * off / ((F.col("n0") + F.col("n1")) * (F.lit(float(t0 + t1)) - F.col("n0") - F.col("n1")) + 1e-9)
-    best = counts.filter("n0 + n1 >= 3").orderBy(chi.desc(), "feature").limit(n).select("feature").collect()
+    best = counts.withColumn("chi", chi * float(t0 + t1) / (float(t0) * t1)).filter(F.col("chi") >= TELLING).orderBy(F.desc("chi"), "feature").limit(n).select("feature").collect()
     return {r["feature"]: k for k, r in enumerate(best)}
 
 
@@ -137,7 +137,7 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], width: int, swaps:
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x.times(w) + bias, -40, 40)))
         g = weight * (p - y)
-        grad = np.append(x.back(g) + 2 * ridge * w / width, g.sum())
+        grad = np.append(x.back(g) + 2 * ridge * w, g.sum())
         if pairs:
             change = 2 * swaps * (before.times(w) - after.times(w)) / len(pairs)
             grad[:-1] += before.back(change) - after.back(change)
