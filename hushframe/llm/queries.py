@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, packing, quality, token_counts, toxicity
+from hushframe.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_toxicity, op5_embedding_dedup, op6_quality, op8_packing, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_toxicity, op5_embedding_dedup, op6_quality, op7_minhash_dedup, op8_packing, op9_exact_dedup, op10_chat_format)}
 
 
 OP9_SQL = r"""
