@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, token_counts, toxicity
+from hushframe.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -54,8 +58,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.windows(table(spark, sf_dir, "conversations").select(*columns).unionByName(added)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_toxicity, op5_embedding_dedup, op6_quality, op7_minhash_dedup, op8_packing, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_token_counts, op4_toxicity, op5_embedding_dedup, op6_quality, op7_minhash_dedup, op8_packing, op9_exact_dedup, op10_chat_format, pipeline)}
 
 
 OP9_SQL = r"""
