@@ -58,16 +58,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 class Kept(dict):
-    """A table of a function's values for short texts, filled on demand; when it is full it starts anew, so its size is bounded."""
+    """A table of a function's values for short texts, filled on demand up to a bound. A full table stays as it is, as frequent texts came
+    first, until four times as many texts were not found in it; then it starts anew."""
 
     def __init__(self, make: Callable[[str], object], most: int = 500_000, short: int = 48):
         super().__init__()
-        self.make, self.most, self.short = make, most, short
+        self.make, self.most, self.short, self.missed = make, most, short, 0
 
     def __missing__(self, text: str):
         value = self.make(text)
-        if len(text) <= self.short:
-            if len(self) >= self.most:
+        if len(self) < self.most:
+            if len(text) <= self.short:
+                self[text] = value
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.most:
                 self.clear()
-            self[text] = value
+                self.missed = 0
         return value

@@ -13,6 +13,7 @@ An empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,17 @@ class WordIds:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.words = Kept(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if w else b"")
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.words = Kept(self.word)
+
+    def word(self, word: str) -> bytes:
+        """A word of letters and the marks after it are split before any merge, and case doesn't matter, so each form is tokenised once."""
+        bare = word.rstrip(".,;:!?")
+        if bare and bare.isascii() and bare.isalpha() and (len(bare) < len(word) or not bare.islower()):
+            return self.words[bare.lower()] + (self.words[word[len(bare) :]] if len(bare) < len(word) else b"")
+        if bare and len(bare) == len(word) and bare.isascii() and bare.isalpha():  # what the tokenizer hands to its model unchanged
+            return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
