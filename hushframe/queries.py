@@ -1,17 +1,559 @@
-"""Registry of the engine's queries and of the SQL each is held against."""
+"""The engine's queries, each with the SQL it is held against where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hushframe.functions import checksum, patterns, redact, scan
+from hushframe.functions.patterns import AUDIT_RULES, RULES, Rule, re2
+from hushframe.operators import context, evaluate, extract, geometry, synth, tagger
+from hushframe.plans import planner
+from hushframe.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def q(text: str) -> str:
+    return f"$q${text}$q$"
+
+
+# Texts with identifiers of every kind, made from customer keys by an expression both engines read. --------------------------
+
+_BODY = "cast(20000000000 + c_custkey * 104729 as string)"
+PROBE = (
+    "concat('Ref ', cast(c_custkey as string), ' Aadhaar: ', A, ' ; pay user', cast(c_custkey as string), '@ybl or mail u', cast(c_custkey as string), '@mail.example.com; PAN ABC', "
+    "case when c_custkey % 3 = 0 then 'D' else 'P' end, 'K', lpad(cast(c_custkey % 10000 as string), 4, '0'), 'Z, bank HDFC0', lpad(cast(c_custkey as string), 6, '0'), ' call ', "
+    "case when c_custkey % 4 = 0 then '5' else '9' end, lpad(cast(c_custkey * 7919 % 1000000000 as string), 9, '0'), case when c_custkey % 2 = 0 then ' born on ' else ' signed on ' end, "
+    "lpad(cast(c_custkey % 28 + 1 as string), 2, '0'), '/0', cast(c_custkey % 9 + 1 as string), '/19', lpad(cast(c_custkey % 100 as string), 2, '0'), ' treaty. Passport: X', "
+    "lpad(cast(c_custkey * 31 % 10000000 as string), 7, '0'), ' DOB: May 5th, 19', lpad(cast(c_custkey % 90 + 10 as string), 2, '0'))"
+)
+_SQL_D, _SQL_P = ("'" + "".join(t) + "'" for t in (patterns.VERHOEFF_D, patterns.VERHOEFF_P))
+
+
+def sql_verhoeff(text: str, first: int) -> str:
+    step = f"cast(substr({_SQL_D}, c * 10 + cast(substr({_SQL_P}, (i + {first}) % 8 * 10 + cast(substr({text}, len({text}) - i, 1) as bigint) + 1, 1) as bigint) + 1, 1) as bigint)"
+    return f"list_reduce(list_prepend(0::bigint, range(0, len({text}))), lambda c, i: {step})"
+
+
+def sql_luhn(text: str, doubled: int) -> str:
+    digit = f"cast(substr({text}, len({text}) - i, 1) as bigint)"
+    return f"cast(list_sum(list_transform(range(0, len({text})), lambda i: case when i % 2 = {doubled} then case when {digit} > 4 then {digit} * 2 - 9 else {digit} * 2 end else {digit} end)) as bigint)"
+
+
+PROBES_SQL = f"probes AS (SELECT c_custkey AS id, {PROBE} AS text FROM (SELECT *, body || substr('{patterns.VERHOEFF_INVERSE}', {sql_verhoeff('body', 1)} + 1, 1) AS A FROM (SELECT *, {_BODY} AS body FROM customer)))"
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.expr(_BODY)
+    rows = table(spark, sf_dir, "customer").withColumn("A", F.concat(body, checksum.verhoeff_digit(body).cast("string")))
+    return rows.select(F.col("c_custkey").alias("id"), F.expr(PROBE).alias("text"))
+
+
+def sql_hits(source: str, key: str, rule: Rule, order: int = 0) -> str:
+    """Verified matches of a rule with offsets."""
+    rx = q(re2(rule.pattern))
+    found = f"""(SELECT {key}, text, raw, start, substr(text, greatest(start - 48, 0) + 1, least(start, 48)) AS bef, substr(text, greatest(start - 40, 0) + 1, least(start, 40)) AS near,
+      regexp_replace(raw, '[^0-9]', '', 'g') AS digits, substr(text, start + len(raw) + 1, 1) AS aft
+      FROM (SELECT {key}, text, raws[i] AS raw, len(coalesce(array_to_string(gaps[1:i], ''), '')) + len(coalesce(array_to_string(raws[1:i-1], ''), '')) AS start
+      FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM (SELECT {key}, text, string_split_regex(text, {rx}) AS gaps, regexp_extract_all(text, {rx}) AS raws FROM {source} WHERE len(text) >= 4))))"""
+    luhn, verhoeff = f"len(digits) BETWEEN 13 AND 19 AND {sql_luhn('digits', 1)} % 10 = 0", f"digits[1] >= '2' AND {sql_verhoeff('digits', 0)} = 0"
+    test = {
+        None: "true",
+        "luhn": luhn,
+        "verhoeff": verhoeff,
+        "aadhaar": f"{verhoeff} AND (raw = digits OR regexp_matches(near, {q(re2(patterns.AADHAAR_CONTEXT))}))",
+        "phone": f"NOT regexp_matches(right(bef, 1), '[0-9]') AND NOT regexp_matches(aft, '[0-9]') AND NOT regexp_matches(bef, {q(re2(patterns.ID_CONTEXT))})",
+        "birth": f"regexp_matches(bef, {q(re2(patterns.DOB_CONTEXT))})",
+        "labelled": f"regexp_matches(bef, {q(re2(patterns.ID_CONTEXT))})",
+    }[rule.verify]
+    return f"SELECT {key}, '{rule.kind}' AS kind, {rule.severity} AS severity, cast(start AS bigint) AS start, cast(start + len(raw) AS bigint) AS stop, raw, {order} AS rule, text FROM {found} WHERE {test}"
+
+
+def _spans(rows: DataFrame, key: str, spans: Column) -> DataFrame:
+    return rows.select(key, F.explode(spans).alias("s")).select(key, F.col("s.kind").alias("kind"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), F.col("s.raw").alias("raw"))
+
+
+def _register_scans() -> None:
+    """scan_<kind>: documents for the kinds they hold, probes for the others."""
+    for kind in dict.fromkeys(r.kind for r in RULES):
+        on_documents = kind in ("card", "email")
+        source, key = ("documents", "doc_id") if on_documents else ("probes", "id")
+        rules = [(k, r) for k, r in enumerate(RULES) if r.kind == kind and r.pattern != patterns.ID_NUMBER]
+        if kind == "id_number":  # DuckDB's patterns have no lookahead: the shape, and a digit within
+            rules = [(12, Rule(kind, 3, r"(?i)\b[A-Z0-9][A-Z0-9-]{4,16}[A-Z0-9]\b", "labelled"))]
+        union = " UNION ALL ".join(f"SELECT {key}, kind, start, stop, raw FROM ({sql_hits(source, key, r)})" for _, r in rules)
+        digit = " WHERE regexp_matches(raw, '[0-9]')" if kind == "id_number" else ""
+        ORACLES[f"scan_{kind}"] = ("" if on_documents else f"WITH {PROBES_SQL} ") + f"SELECT * FROM ({union}){digit}"
+
+        def run(spark: SparkSession, sf_dir: str, kind: str = kind, documents: bool = on_documents) -> DataFrame:
+            rows = table(spark, sf_dir, "documents") if documents else probes(spark, sf_dir)
+            some = tuple(r for r in RULES if r.kind == kind)
+            return _spans(rows, "doc_id" if documents else "id", scan.candidates(F.col("text"), some))
+
+        QUERIES[f"scan_{kind}"] = run
+
+
+_register_scans()
+
+#: Card and e-mail spans of documents; they hold no other kind, and the greedy choice by start is a window here.
+DOC_SPANS = f"""hits AS ({' UNION ALL '.join(sql_hits('documents', 'doc_id', r, k) for k, r in enumerate(RULES) if r.kind in ('card', 'email'))}),
+  spans AS (SELECT doc_id, kind, severity, start, stop, raw FROM (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start, severity DESC, stop DESC, rule) AS prev FROM hits) WHERE prev IS NULL OR start >= prev)"""
+
+
+@query(
+    f"""WITH {DOC_SPANS}, pieces AS (SELECT s.doc_id, s.start, s.stop, substr(d.text, coalesce(lag(s.stop) OVER w, 0) + 1, s.start - coalesce(lag(s.stop) OVER w, 0)) ||
+      case kind when 'card' then '[[CARD]]' else '[[EMAIL]]' end AS piece FROM spans s JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.start)),
+    whole AS (SELECT doc_id, string_agg(piece, '' ORDER BY start) AS front, max(stop) AS stop, count(*) AS n FROM pieces GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_spans, cast(len(red) AS bigint) AS n_chars_out, md5(red) AS redacted_md5 FROM (
+      SELECT d.doc_id, w.n, coalesce(w.front, '') || substr(d.text, coalesce(w.stop, 0) + 1) AS red FROM documents d LEFT JOIN whole w USING (doc_id))"""
+)
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", scan.scan_text(F.col("text")))
+    out = rows.select("doc_id", F.size("spans").cast("long").alias("n_spans"), redact.redact_text(F.col("text"), F.col("spans")).alias("red"))
+    return out.select("doc_id", "n_spans", F.length("red").cast("long").alias("n_chars_out"), F.md5("red").alias("redacted_md5"))
+
+
+@query(f"WITH {DOC_SPANS} SELECT source, kind, count(*) AS n FROM spans JOIN documents USING (doc_id) GROUP BY ALL")
+def kinds_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("source", F.explode(scan.scan_text(F.col("text"))).alias("s")).groupBy("source", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOC_SPANS} SELECT lang, kind, count(*) AS n FROM spans JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, kind)")
+def kinds_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("lang", F.explode(scan.scan_text(F.col("text"))).alias("s")).select("lang", F.col("s.kind").alias("kind")).rollup("lang", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOC_SPANS} SELECT kind, count(*) AS n FROM spans GROUP BY kind ORDER BY n DESC, kind LIMIT 6")
+def topk_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.explode(scan.scan_text(F.col("text"))).alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(6)
+
+
+_AUDIT_UNION = " UNION ".join(f"SELECT id, kind FROM ({sql_hits('probes', 'id', r)})" for r in AUDIT_RULES)
+
+
+@query(f"WITH {PROBES_SQL} SELECT id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM ({_AUDIT_UNION}) GROUP BY id")
+def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast(planner.ELEMENTS)
+    rows = probes(spark, sf_dir).select("id", F.array_join(planner.leak_audit(F.col("text"), F.lit(None).cast("string"), none), ",").alias("kinds"))
+    return rows.filter("kinds <> ''")
+
+
+@query()
+def redact_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds at once: spans, overlaps, placeholders."""
+    rows = probes(spark, sf_dir).withColumn("spans", scan.scan_text(F.col("text")))
+    return rows.select("id", F.size("spans").alias("n_spans"), redact.redact_text(F.col("text"), F.col("spans")).alias("redacted"))
+
+
+# Checksums and generators. -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, body, (10 - {sql_luhn('body', 0)} % 10) % 10 AS digit FROM (SELECT o_orderkey, cast(400000000000000 + o_orderkey * 104729 AS string) AS body FROM orders)")
+def luhn_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 104729 + 400000000000000).cast("string").alias("body"))
+    return rows.withColumn("digit", checksum.luhn_digit(F.col("body")).cast("long"))
+
+
+@query(f"SELECT o_orderkey, body, cast(substr('{patterns.VERHOEFF_INVERSE}', {sql_verhoeff('body', 1)} + 1, 1) AS bigint) AS digit FROM (SELECT o_orderkey, cast(20000000000 + o_orderkey * 104729 AS string) AS body FROM orders)")
+def verhoeff_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 104729 + 20000000000).cast("string").alias("body"))
+    return rows.withColumn("digit", checksum.verhoeff_digit(F.col("body")).cast("long"))
+
+
+@query(f"SELECT o_orderkey, n, {sql_luhn('n', 1)} % 10 = 0 AS luhn, n[1] >= '2' AND len(n) = 12 AND {sql_verhoeff('n', 0)} = 0 AS verhoeff FROM (SELECT o_orderkey, case when o_orderkey % 2 = 0 then cast(o_orderkey * 99991 + 4000000000000000 AS string) else cast(o_orderkey * 99991 + 200000000000 AS string) end AS n FROM orders) WHERE true".replace("% 10 = 0 AS luhn", "% 10 = 0 AND len(n) >= 13 AS luhn"))
+def checksum_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 2 == 0, key * 99991 + 4000000000000000).otherwise(key * 99991 + 200000000000).cast("string").alias("n"))
+    return rows.withColumns({"luhn": checksum.luhn_ok(F.col("n")), "verhoeff": checksum.verhoeff_ok(F.col("n"))})
+
+
+@query()
+def decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.decoys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query()
+def inject_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plant identifiers into the pages, find them by blocks and attributes, and score by kind against what was planted, less what the pages had before."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    gold = synth.planted(pages)
+
+    def found(rows: DataFrame) -> DataFrame:
+        texts = rows.select("page_id", F.explode(F.concat(extract.text_blocks(F.col("html")), extract.attr_values(F.col("html")))).alias("text"))
+        return texts.select("page_id", F.explode(scan.scan_text(F.col("text"))).alias("s")).select("page_id", F.col("s.kind").alias("kind"), evaluate.norm_value(F.col("s.raw")).alias("norm"))
+
+    truth = gold.select("page_id", "kind", evaluate.norm_value(F.col("value")).alias("norm"))
+    return evaluate.prf(evaluate.bag_match(truth, found(synth.inject(pages, gold)), found(pages)), "kind")
+
+
+# Extraction. -------------------------------------------------------------------------------------------------------------
+
+_WS = f"[{patterns.WHITE}]"
+_SQL_STRIP = "regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g')"
+_SQL_TRIM = lambda x: f"regexp_replace({x}, {q(f'^{_WS}+|{_WS}+$')}, '', 'g')"
+_SQL_ONE = lambda x: _SQL_TRIM(f"regexp_replace({x}, {q(_WS + '+')}, ' ', 'g')")
+_BLOCKS = f"""blocks AS (SELECT page_id, cast(i - 1 AS bigint) AS ord, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (
+  SELECT page_id, list_filter(list_transform(string_split(regexp_replace({_SQL_STRIP}, '(?i)</?(?:{patterns.BLOCK_TAGS})\\b[^>]*>', chr(1), 'g'), chr(1)),
+  lambda t: {_SQL_ONE("regexp_replace(t, '<[^>]*>', '', 'g')")}), lambda t: len(t) >= 3) AS parts FROM pages)))"""
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(extract.text_blocks(F.col("html"))).alias("ord", "text")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(f"WITH {_BLOCKS} SELECT * FROM blocks")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_blocks(spark, sf_dir)
+
+
+@query(
+    f"SELECT page_id, cast(i - 1 AS bigint) AS ord, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT page_id, list_filter(list_transform(string_split_regex({_SQL_STRIP}, '<[^>]*>'), lambda t: {_SQL_TRIM('t')}), lambda t: t <> '') AS parts FROM pages))"
+)
+def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(extract.text_nodes(F.col("html"))).alias("ord", "text")).withColumn("ord", F.col("ord").cast("long"))
+
+
+_FORM = "concat('<form><input type=\"text\" name=\"n', cast(c_custkey as string), '\" value=\" ', c_name, ' \"><img alt=\"\" data-value=\"', c_mktsegment, '\"><input placeholder=\"Your name\" aria-label=\"  \"></form>')"
+
+
+@query(f"SELECT c_custkey, cast(i - 1 AS bigint) AS ord, v[i] AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM (SELECT c_custkey, list_filter(list_transform(regexp_extract_all(html, '(?i)(?:value|alt|placeholder|aria-label)=\"([^\"]*)\"', 1), lambda t: {_SQL_TRIM('t')}), lambda t: t <> '') AS v FROM (SELECT c_custkey, {_FORM} AS html FROM customer)))")
+def attr_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_FORM).alias("html"))
+    return rows.select("c_custkey", F.posexplode(extract.attr_values(F.col("html"))).alias("ord", "value")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[?#].*', '') AS url FROM pages")
+def url_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", extract.clean_url(F.col("url")).alias("url"))
+
+
+@query("SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(url), '\\w+'), lambda w: len(w) > 2))) AS word FROM pages")
+def url_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(extract.goal_words(F.col("url"))).alias("word"))
+
+
+_SQL_PROSE = _SQL_ONE("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")
+
+
+@query(f"SELECT page_id, md5(t) AS prose_md5, cast(len(t) AS bigint) AS n FROM (SELECT page_id, {_SQL_PROSE} AS t FROM pages) WHERE len(t) >= 200")
+def prose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", extract.prose(F.col("html")).alias("t")).filter("t is not null")
+    return rows.select("page_id", F.md5("t").alias("prose_md5"), F.length("t").cast("long").alias("n"))
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, ord, text, coalesce(right(lag(text) OVER (PARTITION BY page_id ORDER BY ord), 48) || ' ', '') AS prefix FROM blocks")
+def lookbehind_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.lookbehind(page_blocks(spark, sf_dir))
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, count(*) AS kept, cast(sum(len(text)) AS bigint) AS chars FROM (SELECT *, coalesce(sum(len(text)) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS emitted FROM blocks) WHERE emitted < 500 GROUP BY page_id")
+def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.within_budget(page_blocks(spark, sf_dir), F.length("text"), 500).groupBy("page_id").agg(F.count("*").alias("kept"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query()
+def dom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.dom_blocks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sanitised record of every page."""
+    return context.build_context(table(spark, sf_dir, "pages")).select("page_id", "schema", "url", "text", "redacted_spans", "redacted_elements", "truncated", F.coalesce(F.size("elements"), F.lit(0)).alias("n_elements"))
+
+
+# Elements. ---------------------------------------------------------------------------------------------------------------
+
+_ELEMENTS = """SELECT c_custkey % 40 AS page_id, c_custkey AS i, case c_custkey % 5 when 0 then 'input' when 1 then 'a' when 2 then 'input' when 3 then 'button' else 'img' end AS tag,
+  case when c_custkey % 35 = 0 then 'password' when c_custkey % 4 = 1 then 'text' end AS type, case when c_custkey % 15 = 2 then ' CC-Number ' when c_custkey % 15 = 7 then 'off' end AS autocomplete,
+  case when c_custkey % 20 = 12 then 'Your Phone' when c_custkey % 20 = 5 then 'expand' else 'plain' end AS names FROM customer"""
+_SQL_KIND = f"""case when tag = 'input' and lower(coalesce(type, 'text')) = 'password' then 'password'
+  when tag = 'input' and lower(trim(coalesce(autocomplete, ''))) in ({', '.join(f"'{a}'" for a in patterns.SENSITIVE_AUTOCOMPLETE)}) then 'autocomplete:' || lower(trim(autocomplete))
+  when tag = 'input' and regexp_matches(names, {q(re2(patterns.SENSITIVE_NAME))}) then 'sensitive_field' when tag in ('img', 'video', 'canvas') then 'visual_candidate' end"""
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_ELEMENTS.replace("FROM customer", "FROM {c}"), c=table(spark, sf_dir, "customer"))
+    return rows.withColumn("sensitive", context.classify(F.col("tag"), F.col("type"), F.col("autocomplete"), F.col("names")))
+
+
+@query(f"SELECT i, kind, case when kind = 'password' or kind like 'autocomplete:%' then 3 when kind = 'sensitive_field' then 2 when kind = 'visual_candidate' then 1 else 0 end AS severity, case when kind = 'password' then '[[PASSWORD]]' when kind = 'sensitive_field' then '[[SENSITIVE]]' when kind = 'visual_candidate' then '[[IMAGE]]' when kind like 'autocomplete:%' then '[[' || replace(upper(substr(kind, 14)), '-', '_') || ']]' else '[[REDACTED]]' end AS placeholder FROM (SELECT i, {_SQL_KIND} AS kind FROM ({_ELEMENTS}))")
+def classify_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("sensitive")
+    return elements(spark, sf_dir).select("i", kind.alias("kind"), F.coalesce(context.severity_of(kind), F.lit(0)).alias("severity"), redact.placeholder_for(kind).alias("placeholder"))
+
+
+@query(f"SELECT page_id, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS truncated FROM (SELECT page_id, kind IS NOT NULL OR row_number() OVER (PARTITION BY page_id ORDER BY i) <= 20 AS kept FROM (SELECT *, {_SQL_KIND} AS kind FROM ({_ELEMENTS}))) GROUP BY page_id")
+def element_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.capped(elements(spark, sf_dir), 20).groupBy("page_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("truncated"))
+
+
+# Geometry. ---------------------------------------------------------------------------------------------------------------
+
+_BOX = lambda a, b, c, d: f"l_orderkey AS id, l_linenumber AS n, cast(l_partkey % {a} AS int) AS x, cast(l_suppkey % {b} AS int) AS y, cast(l_quantity % {c} AS int) AS w, cast(l_partkey % {d} AS int) AS h"
+_BOXES = f"SELECT {_BOX(60, 40, 17, 13)} FROM lineitem"
+_INTER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_BOXES.replace("FROM lineitem", "FROM {l}"), l=table(spark, sf_dir, "lineitem"))
+
+
+def _box() -> Column:
+    return F.struct("n", "x", "y", "w", "h")
+
+
+@query(f"SELECT id, m, n, round(i / u, 6) AS iou FROM (SELECT a.id, a.n AS m, b.n AS n, {_INTER} AS i, a.w * a.h + b.w * b.h - {_INTER} AS u FROM boxes a JOIN boxes b ON a.id = b.id AND a.n < b.n) WHERE i > 0".replace("FROM boxes a JOIN boxes b", f"FROM ({_BOXES}) a JOIN ({_BOXES}) b"))
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boxes(spark, sf_dir)
+    pairs = rows.select("id", _box().alias("a")).join(rows.select("id", _box().alias("b")), "id").filter("a.n < b.n")
+    return pairs.filter(geometry.intersection(F.col("a"), F.col("b")) > 0).select("id", F.col("a.n").alias("m"), F.col("b.n").alias("n"), F.round(geometry.iou(F.col("a"), F.col("b")), 6).alias("iou"))
+
+
+@query(
+    f"""WITH boxes AS ({_BOXES}), r AS (SELECT * FROM boxes WHERE n % 3 = 0), c AS (SELECT * FROM boxes WHERE n % 3 = 1 AND w > 0), o AS (SELECT * FROM boxes WHERE n % 3 = 2),
+    share AS (SELECT a.id, a.n, a.x, a.y, a.w, a.h, sum(case when a.w * a.h > 0 then {_INTER} / (a.w * a.h) else 0 end) AS covered FROM r a JOIN c b USING (id) GROUP BY ALL),
+    over AS (SELECT DISTINCT a.id, a.n, a.x, a.y, a.w, a.h FROM r a JOIN o b USING (id) WHERE a.w * a.h > 0 AND {_INTER} / (a.w * a.h) > 0.3)
+    SELECT id, n FROM r WHERE (id, n, x, y, w, h) IN (SELECT * FROM over) OR n = 3 AND id % 10 = 0 OR coalesce((SELECT covered FROM share s WHERE (s.id, s.n, s.x, s.y, s.w, s.h) = (r.id, r.n, r.x, r.y, r.w, r.h)), 0) < 0.2"""
+)
+def fuse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions (every third box), clean boxes and opaque areas of an order; those of an order divisible by ten that come first are unscanned."""
+    of = lambda k: F.coalesce(F.collect_list(F.when(F.col("n") % 3 == k, F.struct("n", "x", "y", "w", "h", F.when((F.col("n") == 3) & (F.col("id") % 10 == 0), "unscanned").otherwise("screen").alias("kind")))), F.array())
+    rows = boxes(spark, sf_dir).groupBy("id").agg(of(0).alias("r"), of(1).alias("c"), of(2).alias("o"))
+    return rows.select("id", F.explode(geometry.fuse(F.col("r"), F.col("c"), F.col("o"), 0.2)).alias("k")).select("id", "k.n")
+
+
+@query(f"SELECT DISTINCT id, row, col FROM (SELECT id, row, unnest(range(least(greatest(x // 8, 0), 7), least(greatest((x + w) // 8, 0), 7) + 1)) AS col FROM (SELECT *, unnest(range(least(greatest(y // 8, 0), 4), least(greatest((y + h) // 8, 0), 4) + 1)) AS row FROM ({_BOXES}) WHERE w > 0 AND h > 0))")
+def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.raster_cells(boxes(spark, sf_dir), 8, 8, 5).withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")})
+
+
+@query()
+def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of each order that suppress no other, scored by their tax."""
+    scored = boxes(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (0.6 + F.col("l_tax")).alias("score")), ["id", "n"])
+    kind = "struct<x:int,y:int,w:int,h:int,score:double,id:int>"
+    rows = scored.groupBy("id").agg(F.collect_list(F.struct("x", "y", "w", "h", "score", F.col("n").cast("int").alias("id"))).cast(f"array<{kind}>").alias("boxes"))
+    return rows.select("id", F.explode(geometry.nms(F.col("boxes"), kind)).alias("b")).select("id", F.col("b.id").alias("n"), F.round("b.score", 6).alias("score"))
+
+
+@query()
+def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("cells"))
+    return geometry.grid_boxes(rows, 8, 8, 0.1)
+
+
+@query(
+    """SELECT threshold, cast(sum(tp) AS bigint) AS tp, cast(sum(fp) AS bigint) AS fp, cast(sum(fn) AS bigint) AS fn, round(avg(share), 6) AS flagged FROM (
+      SELECT threshold, vec_id, count(*) FILTER (p > threshold AND truth) AS tp, count(*) FILTER (p > threshold AND NOT truth) AS fp, count(*) FILTER (NOT p > threshold AND truth) AS fn, avg(cast(p > threshold AS int)) AS share
+      FROM (SELECT vec_id, unnest(embedding)::double AS p, (vec_id % 2 = 0) AS truth FROM embeddings), (SELECT unnest([-0.1::double, 0.0::double, 0.1::double, 0.2::double]) AS threshold) GROUP BY ALL) GROUP BY threshold"""
+)
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.explode("embedding").alias("e")).select("id", F.col("e").cast("double").alias("p"), (F.col("id") % 2 == 0).alias("truth"))
+    return evaluate.threshold_sweep(cells, [-0.1, 0.0, 0.1, 0.2])
+
+
+# Tagger. -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, cast(s AS bigint) AS start, cast(least(384, n - s) AS bigint) AS width FROM (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 320)) AS s FROM (SELECT doc_id, strlen(text) AS n FROM documents WHERE strlen(text) > 0)) WHERE n - s >= 8 AND (s = 0 OR s - 320 + 384 < n)")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), F.explode(tagger.window_starts(n)).alias("start"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.least(F.lit(384), F.col("n") - F.col("start")).cast("long").alias("width"))
+
+
+_TAGS = "SELECT user_id AS id, cast(floor(value) AS bigint) % 20 AS pos, event_id % 7 AS win, cast(case event_type when 'view' then 0 when 'click' then 1 else 2 end AS int) AS tag FROM events"
+
+
+@query(f"SELECT id, pos, coalesce(arg_max(tag, win * 3 + tag) FILTER (tag <> 0), 0) AS tag FROM (SELECT id, pos, win, max(tag) AS tag FROM ({_TAGS}) GROUP BY ALL) GROUP BY ALL")
+def window_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_TAGS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events")).groupBy("id", "pos", "win").agg(F.max("tag").alias("tag"))
+    return tagger.combine(rows.withColumnRenamed("win", "window"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, case when lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type then 0 else 1 end AS new FROM events)) GROUP BY user_id, run, event_type")
+def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagger.run_lengths(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+_INTERVALS = "SELECT o_custkey AS k, o_orderkey % 997 AS start, o_orderkey % 997 + o_custkey % 31 AS stop FROM orders"
+
+
+@query(f"SELECT k, min(start) AS start, max(stop) AS stop, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, case when start <= max(stop) OVER (PARTITION BY k ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) then 0 else 1 end AS new FROM ({_INTERVALS}))) GROUP BY k, island")
+def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_INTERVALS.replace("FROM orders", "FROM {o}"), o=table(spark, sf_dir, "orders")).withColumnRenamed("stop", "end")
+    return tagger.merge_intervals(rows, "k").withColumnRenamed("end", "stop")
+
+
+@query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, cast(least(len(text), doc_id % 977) AS bigint) AS n FROM documents)")
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.least(F.length("text"), (F.col("doc_id") % 977).cast("int")).alias("n"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
+
+
+@query()
+def tag_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagger.tag_spans(table(spark, sf_dir, "documents"), tagger.digit_scorer)
+
+
+@query("SELECT vec_id, case when best > 1 AND share >= 0.02 then best - 1 else 0 end AS class FROM (SELECT vec_id, list_position(embedding, list_max(embedding)) AS best, 1 / list_sum(list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double))) AS share FROM embeddings)")
+def confident_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", tagger.confident(logits, 0.02).cast("int").alias("class"))
+
+
+# Scoring. ----------------------------------------------------------------------------------------------------------------
+
+_GOLD = "SELECT o_custkey % 50 AS page_id, cast(o_orderkey % 5 AS string) AS kind, cast(o_orderkey % 11 AS string) AS norm, case when o_orderkey % 3 = 0 then 'split' when o_orderkey % 7 = 0 then 'canvas' end AS hard, o_orderkey AS ord FROM orders"
+_FOUND = "SELECT o_custkey % 50 AS page_id, cast(o_orderkey % 5 AS string) AS kind, cast(o_orderkey % 13 AS string) AS norm FROM orders WHERE o_orderkey % 4 <> 0"
+_BASE = "SELECT o_custkey % 50 AS page_id, cast(o_orderkey % 5 AS string) AS kind, cast(o_orderkey % 13 AS string) AS norm FROM orders WHERE o_orderkey % 9 = 0"
+_POOL = f"({_FOUND} EXCEPT ALL {_BASE})"
+_PRF = "cast(sum(tp) AS bigint) AS tp, cast(sum(fp) AS bigint) AS fp, cast(sum(fn) AS bigint) AS fn"
+_R6 = "round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+
+
+def _side(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM orders", "FROM {o}"), o=table(spark, sf_dir, "orders"))
+
+
+@query(
+    f"""WITH tp AS (SELECT kind, count(*) AS n FROM (SELECT page_id, kind, norm FROM ({_GOLD}) INTERSECT ALL {_POOL}) GROUP BY kind), p AS (SELECT kind, count(*) AS n FROM {_POOL} GROUP BY kind), g AS (SELECT kind, count(*) AS n FROM ({_GOLD}) GROUP BY kind),
+    k AS (SELECT kind, coalesce(tp.n, 0) AS tp, coalesce(p.n, 0) - coalesce(tp.n, 0) AS fp, coalesce(g.n, 0) - coalesce(tp.n, 0) AS fn FROM g FULL JOIN p USING (kind) FULL JOIN tp USING (kind))
+    SELECT kind, tp, fp, fn, {_R6} FROM (SELECT kind, {_PRF} FROM k GROUP BY ROLLUP (kind))"""
+)
+def bag_match_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.prf(evaluate.bag_match(*(_side(spark, sf_dir, s) for s in (_GOLD, _FOUND, _BASE))), "kind")
+
+
+@query(f"SELECT page_id, kind, norm, count(*) AS n FROM {_POOL} GROUP BY ALL")
+def baseline_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _side(spark, sf_dir, _FOUND).exceptAll(_side(spark, sf_dir, _BASE))
+    return left.groupBy("page_id", "kind", "norm").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT hard, count(*) FILTER (coalesce(nth <= pool, false)) AS found, count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY page_id, kind, norm ORDER BY ord) AS nth FROM ({_GOLD})) LEFT JOIN (SELECT page_id, kind, norm, count(*) AS pool FROM ({_FOUND}) GROUP BY ALL) USING (page_id, kind, norm) GROUP BY hard")
+def hard_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.hard_recall(_side(spark, sf_dir, _GOLD), _side(spark, sf_dir, _FOUND))
+
+
+@query("SELECT event_type, round(list_sort(list(value))[cast(count(value) // 2 + 1 AS int)], 6) AS median FROM events GROUP BY event_type")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.upper_median(table(spark, sf_dir, "events"), "event_type", "value").withColumn("median", F.round("median", 6))
+
+
+@query("SELECT event_type, n, round(w / avg(w) OVER (), 6) AS weight FROM (SELECT event_type, n, sqrt(sum(n) OVER () / (n + 1)) AS w FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.class_weights(table(spark, sf_dir, "events"), "event_type").withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT doc_id, ('0x' || substr(md5(cast(doc_id AS string)), 1, 8))::bigint % 100 < 25 AS held_out FROM documents")
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.hash_split(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"), 25)
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 20")
+def history_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushframe.sources.files import newest
+
+    return newest(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+
+
+@query("SELECT doc_id, replace(upper(regexp_replace(substr(text, 1, 200), '[^\\p{L}\\p{N}]', '', 'g')), 'ẞ', 'SS') AS loose, lower(regexp_replace(substr(text, 1, 200), '[^a-zA-Z0-9@.]', '', 'g')) AS strict FROM documents")
+def norm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.substring("text", 1, 200)
+    return table(spark, sf_dir, "documents").select("doc_id", evaluate.norm_value(head).alias("loose"), evaluate.norm_external(head).alias("strict"))
+
+
+# Planner and loop. -------------------------------------------------------------------------------------------------------
+
+_STEPS = "SELECT user_id AS run_id, event_id AS n, case when event_type = 'purchase' AND event_id % 5 = 0 then 'noop' else 'click' end AS kind, concat(event_type, cast(event_id % 2 AS string)) AS signature, event_id % 11 <> 0 AS executed FROM events"
+_STOPS = f"""steps AS (SELECT *, row_number() OVER w AS nth, coalesce(lag(signature) OVER w = signature, false) AS same FROM ({_STEPS}) WINDOW w AS (PARTITION BY run_id ORDER BY n)),
+  whys AS (SELECT *, case when kind = 'noop' then 'done' when NOT executed then 'action failed' when same then 'stalled' when nth = 8 then 'limit' end AS why FROM steps WHERE nth <= 8)"""
+
+
+@query(f"WITH {_STOPS} SELECT run_id, cast(coalesce(min(nth) FILTER (why IS NOT NULL), max(nth)) AS int) AS stopped_at, coalesce(arg_min(why, nth) FILTER (why IS NOT NULL), 'open') AS reason FROM whys GROUP BY run_id")
+def loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.replay(spark.sql(_STEPS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events")))
+
+
+@query(f"WITH {_STOPS} SELECT run_id, count(*) FILTER (same) AS repeats FROM steps GROUP BY run_id")
+def step_stall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_STEPS.replace("FROM events", "FROM {e}"), e=table(spark, sf_dir, "events"))
+    same = F.coalesce(F.lag("signature").over(Window.partitionBy("run_id").orderBy("n")) == F.col("signature"), F.lit(False))
+    return rows.withColumn("same", same).groupBy("run_id").agg(F.count_if("same").alias("repeats"))
+
+
+_GOALS = "['Please summarise', 'scroll down', 'fill in: my Answer ', 'enter my password: x', 'open the orders page', 'nothing here']"
+_REQUESTS = f"SELECT c_custkey AS id, c_custkey % 6 + 1 AS g, c_custkey % 4 AS e, c_custkey % 3 = 0 AS filled, c_custkey % 2 = 0 AS done FROM customer"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals over a page of three elements: a field, a second field or a sensitive one, and a link."""
+    rows = spark.sql(_REQUESTS.replace("FROM customer", "FROM {c}"), c=table(spark, sf_dir, "customer"))
+    goals = F.array(*map(F.lit, ("Please summarise", "scroll down", "fill in: my Answer ", "enter my password: x", "open the orders page", "nothing here")))
+    element = lambda i, tag, label, sensitive, filled: F.struct(F.lit(i).alias("i"), F.lit(tag).alias("tag"), F.lit("text").alias("type"), F.lit(None).cast("string").alias("role"), F.lit(label).alias("label"), sensitive.cast("string").alias("sensitive"), filled.alias("filled"))
+    page = F.array(
+        element(0, "input", "Comment", F.lit(None), F.col("filled")),
+        element(1, "input", "Other", F.when(F.col("e") != 0, "password"), F.lit(True)),
+        element(2, "a", "Orders [[EMAIL]] page", F.lit(None), F.lit(None).cast("boolean")),
+        element(3, "button", "Open", F.lit(None), F.lit(None).cast("boolean")),
+    ).cast(planner.ELEMENTS)
+    history = F.when(F.col("done"), F.array(F.struct(F.lit("click").alias("type"), F.lit(2).alias("index")))).otherwise(F.array()).cast(planner.HISTORY)
+    return rows.select("id", F.element_at(goals, F.col("g").cast("int")).alias("goal"), F.lit("abcde").alias("text"), page.alias("elements"), history.alias("history"), "g", "e", "filled", "done")
+
+
+@query(
+    f"""SELECT id, case g when 1 then 'noop' when 2 then 'scroll' when 3 then case when NOT filled then 'type' when e <> 0 then 'refuse' else 'noop' end when 4 then 'refuse' when 5 then case when done then 'noop' else 'click' end else 'noop' end AS type,
+      case when g = 3 AND NOT filled then 0 when g = 5 AND NOT done then 2 else -1 end AS target, case g when 1 then 'Summarised 5 redacted chars.' when 2 then 'Goal asks to scroll.'
+      when 3 then case when NOT filled then 'Filling empty field 0 (Comment).' when e <> 0 then 'Refusing: only remaining field 1 is password. User must fill it.' else 'No confident action.' end
+      when 4 then 'Refusing: the goal names a sensitive field. The user must fill it.' when 5 then case when done then 'No confident action.' else 'Clicking 2 (Orders [[EMAIL]] page), 2 keyword match(es).' end else 'No confident action.' end AS reason FROM ({_REQUESTS})"""
+)
+def planner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = planner.choose_action(F.col("goal"), F.col("text"), F.col("elements"), F.col("history"))
+    rows = requests(spark, sf_dir).select("id", plan.alias("p"))
+    return rows.select("id", F.coalesce("p.action.type", F.lit("refuse")).alias("type"), F.coalesce("p.action.index", F.lit(-1)).alias("target"), "p.reason")
+
+
+_REPLY = "case c_custkey % 7 when 0 then 'go {\"type\":\"click\",\"index\":2} ok' when 1 then '{\"type\":\"type\",\"index\":1,\"text\":\"x\"}' when 2 then '{\"type\":\"click\",\"index\":99}' when 3 then 'no json' when 4 then '{\"type\":\"type\",\"index\":0}' when 5 then '{\"type\":\"scroll\",\"dy\":3}' else '{\"type\":\"hover\"}' end"
+
+
+@query("SELECT c_custkey AS id, c_custkey % 7 IN (0, 5) OR (c_custkey % 7 = 1 AND c_custkey % 4 = 0) AS valid FROM customer")
+def validate_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests(spark, sf_dir).withColumn("raw", F.expr(_REPLY.replace("c_custkey", "id")))
+    return rows.select("id", planner.valid_action(planner.reply_action(F.col("raw")), F.col("elements")).alias("valid"))
+
+
+@query("SELECT id, case when g = 6 OR (g = 5 AND done) OR (g = 3 AND filled AND e = 0) then case when id % 7 = 0 then 'click' when id % 7 = 5 then 'scroll' when id % 7 = 1 AND id % 4 = 0 then 'type' else 'noop' end when g = 1 then 'noop' when g = 2 then 'scroll' when g = 4 OR (g = 3 AND filled) then 'refuse' when g = 3 then 'type' else 'click' end AS type FROM (" + _REQUESTS + ")")
+def tiered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests(spark, sf_dir).withColumn("raw", F.expr(_REPLY.replace("c_custkey", "id")))
+    plan = planner.decide(F.col("goal"), F.col("text"), F.col("elements"), F.col("history"), F.col("raw"))
+    return rows.select("id", plan.alias("p")).select("id", F.coalesce("p.action.type", F.lit("refuse")).alias("type"))
