@@ -33,7 +33,7 @@ WORDS, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Members that a first one is compared with in one task; members of a block in the second round.
-STAR, BLOCK = 256, 128
+STAR, BLOCK = 256, 512
 #: Shingles whose points are drawn together.
 TOGETHER = 200_000
 
@@ -155,32 +155,58 @@ def _star(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def hits(bags: list[tuple[np.ndarray, np.ndarray]], threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i > j of bags that are alike. Overlaps come from products of 0/1 columns, one for each copy of a shingle that two bags share."""
+    if len(bags) < 12:
+        found = [(i, j) for i in range(len(bags)) for j in range(i) if alike(bags[i], bags[j], threshold)]
+        return np.array([f[0] for f in found], int), np.array([f[1] for f in found], int)
+    size = np.array([b[1].sum() for b in bags])
+    row = np.repeat(np.arange(len(bags)), size)
+    which = np.repeat(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]))
+    first = np.cumsum(np.concatenate([b[1] for b in bags])) - np.concatenate([b[1] for b in bags])
+    copy = np.arange(len(which)) - np.repeat(first, np.concatenate([b[1] for b in bags]))
+    _, column, uses = np.unique(mix(which + copy.astype(np.uint64) * _ODD[2]), return_inverse=True, return_counts=True)
+    shared = uses[column] > 1
+    row, column = row[shared], (np.cumsum(uses > 1) - 1)[column[shared]]
+    both = np.zeros((len(bags), len(bags)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        some = np.zeros((len(bags), 4096), np.float32)
+        some[row[a:b], column[a:b] - low] = 1
+        both += some @ some.T
+    over, under = threshold
+    both = np.rint(both).astype(np.int64)
+    return np.nonzero(np.tril((both * under >= over * (size[:, None] + size - both)) & (both > 0), -1))
+
+
 def _across(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that join different components within tasks (task, a, b, own, node, component): pairs of blocks, one in memory at a time."""
     rows = tasks.join(texts, "node").repartition("task", "a", "b").sortWithinPartitions("task", "a", "b").select("task", "a", "b", "own", "node", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["task", "a", "b"]):
-            of = [dict(zip(part.column_names, values)) for values in zip(*(c.to_pylist() for c in part.columns))]
-            root = {r["component"]: r["component"] for r in of}
+            own, node, group = (part.column(c).to_numpy() for c in ("own", "node", "component"))
+            if len(node) < 2 or (group == group[0]).all():
+                continue
+            i, j = hits([bag(t) for t in part.column("text").to_pylist()])
+            _, of = np.unique(group, return_inverse=True)
+            joins = (of[i] != of[j]) & ((own[i] != own[j]) | (part.column("a")[0] == part.column("b")[0]))
+            root = list(range(int(of.max()) + 1))
 
             def find(x: int) -> int:
                 while root[x] != x:
                     root[x] = x = root[root[x]]
                 return x
 
-            bags = [bag(r.pop("text")) for r in of]
             u, v = [], []
-            for i, x in enumerate(of):
-                for j in range(i):
-                    y = of[j]
-                    if x["a"] != x["b"] and x["own"] == y["own"]:
-                        continue  # met in the block's own task
-                    p, q = find(x["component"]), find(y["component"])
-                    if p != q and alike(bags[i], bags[j]):
-                        root[max(p, q)] = min(p, q)
-                        u.append(x["node"])
-                        v.append(y["node"])
+            for x, y in zip(i[joins].tolist(), j[joins].tolist()):
+                p, q = find(of[x]), find(of[y])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    u.append(node[x])
+                    v.append(node[y])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -197,7 +223,16 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = nodes.select(F.col("key").alias("of"), "rep", "node").join(members.select("node").distinct(), "node", "left_semi")
     texts = docs.select("doc_id", "text").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     texts = written(texts.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "candidate-texts")
-    links = written(_star(members.filter("node <> head").select("head", "node").distinct(), texts), "star-links")
+    # Every node is tried against the least of its buckets' heads; then, if that didn't settle it, against the other heads outside its component.
+    pairs = written(members.filter("node <> head").select("head", "node").distinct(), "head-pairs")
+    links = written(_star(pairs.groupBy("node").agg(F.min("head").alias("head")), texts), "first-links")
+    so_far = components(links)
+    of = lambda name: so_far.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    apart = pairs.join(of("node"), "node", "left").join(of("head"), "head", "left")
+    apart = apart.filter(F.coalesce("node_in", "node") != F.coalesce("head_in", "head"))
+    least = pairs.groupBy("node").agg(F.min("head").alias("tried"))
+    apart = apart.join(least, "node").filter("head <> tried").select("head", "node")
+    links = written(links.unionByName(_star(apart, texts)), "star-links")
     first = components(links)
     # Buckets of the same members are one task; those within one component, or of two members, are settled.
     named = members.filter("n > 2").select(F.col("who").alias("task"), "n", "node").distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
