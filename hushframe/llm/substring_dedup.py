@@ -167,19 +167,22 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     schema = "doc_id long, print long, m int, gram long, settled boolean, block int, near int, far int, inner long, whole long, strings array<long>"
-    parts = written(arrow_map(texts, split, schema).distinct(), "blocks")
-    shared = parts.groupBy("gram", "block", "inner").count().filter("count > 1").select("gram", "block", "inner")
+    # A repeated row brings its blocks again, so places are told apart rather than rows counted.
+    place = F.xxhash64("doc_id", "print", "m")
+    several_places = F.min(place) != F.max(place)
+    parts = written(arrow_map(texts, split, schema), "blocks")
+    shared = parts.groupBy("gram", "block", "inner").agg(several_places.alias("more")).filter("more").select("gram", "block", "inner")
     parts = written(parts.join(shared, ["gram", "block", "inner"]), "shared-blocks")
-    wholes = parts.filter("whole is not null").groupBy("gram", "block", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "print", "m")).alias("one"))
-    same = parts.filter("not settled").join(wholes.filter("n > 1").select("gram", "block", "whole"), ["gram", "block", "whole"])
+    wholes = parts.filter("whole is not null").groupBy("gram", "block", "whole").agg(several_places.alias("more"), F.min(F.struct("doc_id", "print", "m")).alias("one"))
+    same = parts.filter("not settled").join(wholes.filter("more").select("gram", "block", "whole"), ["gram", "block", "whole"])
     spans = spans.unionByName(same.select("doc_id", "print", (F.col("m") - F.col("far")).alias("first"), (F.col("m") - F.col("near")).alias("last")))
 
     clipped = parts.filter("whole is null").withColumn("done", F.col("settled"))
-    one = parts.join(wholes, ["gram", "block", "whole"]).filter("struct(doc_id, print, m) <=> one").withColumn("done", F.col("settled") | (F.col("n") > 1))
+    one = parts.join(wholes, ["gram", "block", "whole"]).filter("struct(doc_id, print, m) <=> one").withColumn("done", F.col("settled") | F.col("more"))
     columns = ["doc_id", "print", "m", "gram", "near", "done", "strings"]
     single = clipped.select(*columns).unionByName(one.select(*columns))
     single = single.select("doc_id", "print", "m", "gram", "near", "done", F.posexplode("strings").alias("at", "string")).withColumn("k", F.col("near") + F.col("at"))
-    again = single.groupBy("gram", "k", "string").count().filter("count > 1").select("gram", "k", "string")
+    again = single.groupBy("gram", "k", "string").agg(several_places.alias("more")).filter("more").select("gram", "k", "string")
     found = single.filter("not done").join(again, ["gram", "k", "string"]).withColumn("first", F.col("m") - F.col("k"))
     spans = spans.unionByName(found.select("doc_id", "print", "first", F.col("first").alias("last")))
     return spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
