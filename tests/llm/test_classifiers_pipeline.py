@@ -113,7 +113,7 @@ def test_quality_keeps_clean_texts_and_rejects_junk(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     data, labels = sentences(120, 5)
-    copies = [(500 + k, data[k][1] + " ", "en", "s", 1, "x") for k in range(10)] + [(600, data[20][1] + " Indeed so.", "en", "s", 1, "x")]
+    copies = [(500 + k, data[k][1] + " ", "en", "s", 1, "x") for k in range(10)] + [(600, max((d[1] for d in data), key=len).rsplit(" ", 1)[0] + " bread.", "en", "s", 1, "x")]
     spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(data + copies, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -125,6 +125,7 @@ def test_pipeline_stages(spark, tmp_path):
         assert k == 4 or out.columns == docs.columns
         docs = spark.read.parquet(path)
         sizes.append(docs.count())
-    assert sizes[1] <= sizes[0] - 10 and sizes[2] < sizes[1] and sizes[3] == sizes[2] and sizes[4] >= sizes[3]
+    assert sizes[1] <= sizes[0] - 10, sizes
+    assert sizes[2] < sizes[1] and sizes[3] == sizes[2] and sizes[4] >= sizes[3]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == sizes[4]
