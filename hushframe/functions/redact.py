@@ -44,3 +44,16 @@ def redact_text(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(merge_spans(spans), start, step)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["pos"] + 1, F.length(text)))).otherwise(text)
+
+
+def merge_channels(pattern: Column, other: Column) -> Column:
+    """Spans of two channels merged; of spans with the same extent the pattern's kind stays. A null channel counts as empty."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    tagged = lambda spans, k: F.transform(F.coalesce(spans, none), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(k), F.coalesce(s["kind"], F.lit(""))).alias("kind")))
+    merged = merge_spans(F.concat(tagged(pattern, "0"), tagged(other, "1")))
+    return F.transform(merged, lambda s: s.withField("kind", F.substring(s["kind"], F.lit(2), F.length(s["kind"]))))
+
+
+def gained(pattern: Column, merged: Column) -> Column:
+    """Spans that the second channel added."""
+    return F.greatest(F.lit(0), F.size(merged) - F.size(pattern))

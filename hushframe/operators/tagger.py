@@ -120,3 +120,16 @@ def byte_start(text: Column, at: Column) -> Column:
 def char_start(text: Column, at: Column) -> Column:
     """Character offset of a byte offset on a code point's border."""
     return F.length(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), at), "UTF-8"))
+
+
+def spans_to_blocks(spans: DataFrame, blocks: DataFrame, bucket: int = 4096) -> DataFrame:
+    """(id, block, kind, start, stop) within blocks, from spans (id, kind, start, stop) and blocks (id, block, start, stop) over one joined text.
+
+    A span belongs to the block its start is in and ends with it at the latest; one that starts between blocks is dropped. Blocks are spread over
+    buckets of offsets, so the join is on (id, bucket) and a long text doesn't pair all its spans with all its blocks.
+    """
+    b = blocks.select("id", "block", F.col("start").alias("b_start"), F.col("stop").alias("b_stop")).filter("b_stop > b_start")
+    b = b.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("b_start") / bucket), F.floor((F.col("b_stop") - 1) / bucket))))
+    s = spans.withColumn("bucket", F.floor(F.col("start") / bucket))
+    joined = s.join(b, ["id", "bucket"]).filter((F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("b_stop")))
+    return joined.select("id", "block", "kind", (F.col("start") - F.col("b_start")).alias("start"), (F.least("stop", "b_stop") - F.col("b_start")).alias("stop"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions import checksum, patterns, redact, scan
+from hushframe.functions import checksum, patterns, records, redact, scan
 from hushframe.functions.patterns import AUDIT_RULES, RULES, Rule, re2
 from hushframe.operators import context, evaluate, extract, geometry, synth, tagger
 from hushframe.plans import planner
@@ -557,3 +557,51 @@ def tiered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = requests(spark, sf_dir).withColumn("raw", F.expr(_REPLY.replace("c_custkey", "id")))
     plan = planner.decide(F.col("goal"), F.col("text"), F.col("elements"), F.col("history"), F.col("raw"))
     return rows.select("id", plan.alias("p")).select("id", F.coalesce("p.action.type", F.lit("refuse")).alias("type"))
+
+
+# Joins and projections. --------------------------------------------------------------------------------------------------
+
+_TEXT_BLOCKS = "SELECT o_custkey AS id, o_orderkey AS block, o_orderkey % 9973 * 7 AS start, o_orderkey % 9973 * 7 + o_orderkey % 6 AS stop FROM orders"
+_TEXT_SPANS = "SELECT o_custkey AS id, o_orderpriority AS kind, o_orderkey % 9973 * 7 + o_custkey % 7 AS start, o_orderkey % 9973 * 7 + o_custkey % 7 + 4 AS stop FROM orders"
+
+
+@query(f"SELECT s.id, b.block, s.kind, s.start - b.start AS start, least(s.stop, b.stop) - b.start AS stop FROM ({_TEXT_SPANS}) s JOIN ({_TEXT_BLOCKS}) b ON s.id = b.id AND s.start >= b.start AND s.start < b.stop")
+def span_to_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagger.spans_to_blocks(_side(spark, sf_dir, _TEXT_SPANS), _side(spark, sf_dir, _TEXT_BLOCKS))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 300), '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '\"', '&quot;', 'g'), chr(39), '&#39;', 'g') AS escaped, coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ''), 'page') AS host FROM pages")
+def page_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", records.escape_html(F.substring("html", 1, 300)).alias("escaped"), records.history_host(F.col("url")).alias("host"))
+
+
+@query(
+    """SELECT c_custkey AS id, case c_custkey % 4 when 0 then 'Timed out waiting for the page.' when 1 then 'Cannot reach the server. Is it running on port 8000?' when 2 then c_name else 'No content script on this page. Browser-internal pages cannot be scanned — try a normal website.' end AS said,
+      least(20, greatest(1, coalesce(nullif(try_cast(case when c_custkey % 3 = 0 then 'x' else cast(c_custkey % 40 - 5 AS varchar) end AS int), 0), 8))) AS steps FROM customer"""
+)
+def settings_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    said = F.when(k % 4 == 0, "request TIMED OUT").when(k % 4 == 1, "Failed to fetch").when(k % 4 == 2, F.col("c_name")).otherwise("Receiving end does not exist")
+    setting = F.when(k % 3 == 0, "x").otherwise((k % 40 - 5).cast("string"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), records.friendly_error(said).alias("said"), records.clamp_setting(setting).alias("steps"))
+
+
+@query()
+def model_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests(spark, sf_dir).select("id", records.prompt(F.col("goal"), F.col("text"), F.col("elements")).alias("prompt"))
+
+
+@query()
+def two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern spans merged with a byte tagger's, and what the tagger added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagged = tagger.tag_spans(docs, tagger.digit_scorer).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("tagged"))
+    rows = docs.join(tagged, "doc_id", "left").withColumn("spans", F.transform(scan.scan_text(F.col("text")), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    merged = redact.merge_channels(F.col("spans"), F.col("tagged"))
+    return rows.withColumn("merged", merged).select("doc_id", F.size("merged").alias("n_spans"), redact.gained(F.col("spans"), F.col("merged")).alias("gained"), F.md5(redact.redact_text(F.col("text"), F.col("merged"))).alias("redacted_md5"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
