@@ -58,7 +58,7 @@ def held_out(doc_id) -> F.Column:
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and y of the rows that may teach."""
     one = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("most")).filter("y = most and y in (0, 1)")
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).join(one.select("doc_id", "y").filter(~held_out(F.col("doc_id"))), "doc_id")
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).join(one.select("doc_id", "y").filter(~held_out(F.col("doc_id"))).hint("shuffle_hash"), "doc_id")
 
 
 def telling(rows: DataFrame, n: int = FEATURES) -> dict[int, int]:
