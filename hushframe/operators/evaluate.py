@@ -72,10 +72,8 @@ def threshold_sweep(cells: DataFrame, thresholds: list[float]) -> DataFrame:
 def class_weights(tags: DataFrame, tag: str = "tag") -> DataFrame:
     """sqrt(total / (n + 1)) of each tag, divided by the mean over tags."""
     rows = tags.groupBy(tag).agg(F.count("*").alias("n"))
-    total = rows.agg(F.sum("n").alias("total"))
-    weighed = rows.crossJoin(F.broadcast(total)).withColumn("w", F.sqrt(F.col("total") / (F.col("n") + 1)))
-    mean = weighed.agg(F.avg("w").alias("mean"))
-    return weighed.crossJoin(F.broadcast(mean)).select(tag, "n", (F.col("w") / F.col("mean")).alias("weight"))
+    weighed = rows.withColumn("w", F.sqrt(rows.agg(F.sum("n")).scalar() / (F.col("n") + 1)))
+    return weighed.select(tag, "n", (F.col("w") / weighed.agg(F.avg("w")).scalar()).alias("weight"))
 
 
 def hash_split(rows: DataFrame, key: Column, percent: int) -> DataFrame:
