@@ -6,7 +6,7 @@ continuations, joined and summed the same way. Discounts come from counts of cou
 document's perplexity over its whole text. For each language, quantiles of the perplexity of trusted texts set a lower
 and an upper threshold, with a margin; a text outside them is rejected (too improbable, or too repetitive).
 
-Trusted texts are those labelled quality 1. A language with fewer than 50 of them takes the thresholds over all languages; with no trusted text at all
+Trusted texts are those labelled quality 1. A language with fewer than 50 of them takes the wider of its own and the overall thresholds, widened more; with no trusted text at all
 nothing is rejected. Null and empty texts have no perplexity and are rejected. Texts are read whole; repeated rows are judged alike;
 other columns pass through.
 """
@@ -14,6 +14,7 @@ other columns pass through.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +28,8 @@ from hushframe.llm.common import slices, written
 ORDER, CLASSES = 4, 64
 #: Share of trusted texts beyond each threshold, the factor by which thresholds are widened, and the trusted texts a language needs.
 TAIL, MARGIN, ENOUGH = 0.0005, 1.02, 50
+#: The factor for a language with fewer.
+FEW_MARGIN = 1.25
 #: Characters with a class of their own after the 26 letters; fixed values.
 MARKS = " \n.,;:!?'\"-()|/%$&#*"
 WIDE = 0x3000
@@ -101,37 +104,68 @@ def orders(grams: DataFrame) -> DataFrame:
     return out
 
 
-def model(trusted: DataFrame) -> np.ndarray | None:
-    """Log-probability of the last symbol of each of the 64^4 four-grams; None without trusted text."""
+class Model:
+    """The seen n-grams' discounted probabilities and the contexts' back-off weights, order by order; a worker spreads them once."""
+
+    def __init__(self, ones: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.name, self.ones, self.levels = uuid.uuid4().hex, ones, levels
+
+    def logs(self) -> np.ndarray:
+        """Log-probability of the last symbol of each of the 64^4 four-grams."""
+        p = self.ones.astype(np.float32)
+        for grams, own, contexts, weights in self.levels:
+            back = np.ones(len(p), np.float32)
+            back[contexts] = weights
+            out = np.empty((CLASSES, len(p)), np.float32)
+            for k in range(CLASSES):  # the first symbol of the gram
+                out[k] = p * np.repeat(back[k * (len(p) // CLASSES) : (k + 1) * (len(p) // CLASSES)], CLASSES)
+            p = out.reshape(-1)
+            p[grams] += own
+        return np.log(p, out=p)
+
+
+_spread: dict[str, np.ndarray] = {}
+
+
+def spread(model: Model) -> np.ndarray:
+    """The table of the model at hand; a worker keeps one."""
+    if model.name not in _spread:
+        _spread.clear()
+        _spread[model.name] = model.logs()
+    return _spread[model.name]
+
+
+def model(trusted: DataFrame) -> Model | None:
+    """The model of all trusted texts; None without any."""
     counts = written(orders(counted(trusted)), "gram-counts")
     by = discounts(counts)
     d = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, v))) for k, v in by.items()))
     seen = counts.filter("k > 1").withColumn("context", F.expr(f"gram div {CLASSES}").cast("int")).withColumn("d", F.element_at(d[F.col("k")], F.least(F.lit(3), F.col("n")).cast("int")))
     contexts = seen.groupBy("k", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("held"))
-    joined = seen.join(contexts, ["k", "context"]).select("k", "gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("p"), "context", (F.col("held") / F.col("all")).alias("back"))
-    ones = counts.filter("k = 1").select("gram", "n").collect()
-    if not ones:
+    joined = written(
+        seen.join(contexts, ["k", "context"]).select("k", "gram", ((F.col("n") - F.col("d")) / F.col("all")).cast("float").alias("p"), "context", (F.col("held") / F.col("all")).cast("float").alias("back")), "gram-model"
+    )
+    found = counts.filter("k = 1").select("gram", "n").collect()
+    if not found:
         return None
-    total = sum(r["n"] for r in ones)
-    p = np.full(CLASSES, 0.5 / CLASSES)  # half a count's share is spread evenly, so no symbol is impossible
-    for r in ones:
-        p[r["gram"]] += 0.5 * r["n"] / total
-    for k in range(2, ORDER + 1):
-        rows = joined.filter(F.col("k") == k).select("gram", "p", "context", "back").toArrow()  # at most 64^k rows
-        back, own = np.ones(CLASSES ** (k - 1)), np.zeros(CLASSES**k)
-        back[rows.column("context").to_numpy()] = rows.column("back").to_numpy()
-        own[rows.column("gram").to_numpy()] = rows.column("p").to_numpy()
-        lower = np.tile(p, CLASSES) if k > 1 else p
-        p = own + np.repeat(back, CLASSES) * lower
-    return np.log(p).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, table: np.ndarray | None, columns: list[str]) -> DataFrame:
+    total = sum(r["n"] for r in found)
+    ones = np.full(CLASSES, 0.5 / CLASSES)  # half the mass is spread evenly, so no symbol is impossible
+    for r in found:
+        ones[r["gram"]] += 0.5 * r["n"] / total
+    levels = []
+    for k in range(2, ORDER + 1):  # at most 64^k rows each
+        rows = joined.filter(F.col("k") == k)
+        grams, of = rows.select("gram", "p").toArrow(), rows.select("context", "back").distinct().toArrow()
+        levels.append((*(grams.column(c).to_numpy() for c in ("gram", "p")), *(of.column(c).to_numpy() for c in ("context", "back"))))
+    return Model(ones, levels)
+
+
+def perplexities(docs: DataFrame, table: Model | None, columns: list[str]) -> DataFrame:
     """The columns of docs with the perplexity of text; null without text or model."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
+        logs = None if shared.value is None else spread(shared.value)
         for part in chain.from_iterable(map(slices, batches)):
             out = []
             for text in part.column(0).to_pylist():
@@ -145,20 +179,22 @@ def perplexities(docs: DataFrame, table: np.ndarray | None, columns: list[str])
 def judged(docs: DataFrame, labels: DataFrame, tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, text_key, perplexity, lower, upper and kept of every document."""
     trusted_ids = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    trusted = docs.select("doc_id", "text").join(trusted_ids, "doc_id", "left_semi")
+    trusted = docs.select("doc_id", "text").join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi")
     table = model(trusted)
-    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"))
-    scored = written(perplexities(keyed, table, ["doc_id", "lang", "text_key"]), "perplexities")
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
+    scored = written(perplexities(keyed, table, ["doc_id", "lang", "text_key", "has_text"]), "perplexities")
     good = scored.join(trusted_ids, "doc_id", "left_semi").filter("perplexity is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
     ends = lambda rows: rows.agg(F.count("*").alias("n"), F.percentile_approx("perplexity", [tail, 1 - tail], 100_000).alias("q"))
-    overall = ends(good.groupBy()).select(F.col("n").alias("all_n"), F.col("q").alias("all_q"))
-    of = ends(good.groupBy("lang")).withColumnRenamed("lang", "of_lang")
-    rows = scored.crossJoin(F.broadcast(overall)).join(of, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
-    q = F.when(F.coalesce("n", F.lit(0)) >= ENOUGH, F.col("q")).otherwise(F.col("all_q"))
-    rows = rows.select("doc_id", "lang", "text_key", "perplexity", (q[0] / margin).alias("lower"), (q[1] * margin).alias("upper"), "all_n")
+    overall = ends(good.groupBy()).first()  # one row
+    all_q = F.array(*map(F.lit, overall["q"] or [None, None])).cast("array<double>")
+    of = written(ends(good.groupBy("lang")).withColumnRenamed("lang", "of_lang"), "thresholds")  # as a table its size is known to the join
+    rows = scored.join(of, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
+    few = F.coalesce("n", F.lit(0)) < ENOUGH
+    lower = F.when(few, F.least(all_q[0], F.col("q")[0]) / FEW_MARGIN).otherwise(F.col("q")[0] / margin)
+    upper = F.when(few, F.greatest(all_q[1], F.col("q")[1]) * FEW_MARGIN).otherwise(F.col("q")[1] * margin)
+    rows = rows.select("doc_id", "lang", "text_key", "perplexity", "has_text", lower.alias("lower"), upper.alias("upper"))
     inside = F.coalesce((F.col("perplexity") >= F.col("lower")) & (F.col("perplexity") <= F.col("upper")), F.lit(False))
-    unjudged = (F.col("all_n") == 0) & F.col("text_key").isNotNull() & (F.col("text_key") != F.lit(0))
-    return rows.withColumn("kept", inside | unjudged).drop("all_n")
+    return rows.withColumn("kept", inside | F.lit(overall["n"] == 0) & F.col("has_text")).drop("has_text")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
