@@ -36,13 +36,17 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _names(things: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Sort the distinct things and name them by increasing integers; written, so that a name never changes."""
-    return written(things.select(*columns).distinct().sort(*columns).select(*columns, F.monotonically_increasing_id().alias("name")), label)
+    """Sort the distinct things and name them by increasing integers; written, so that a name never changes. Ranges are sampled on a block's
+    beginning and value alone, so what the driver sees of a block is a few bytes."""
+    short = [F.left(F.col(c), F.lit(32)) if dict(things.dtypes)[c] == "string" else F.col(c) for c in columns]
+    order = [*short, F.xxhash64(*columns)]
+    sorted_ = things.select(*columns).distinct().repartitionByRange(*order).sortWithinPartitions(*order, *columns)
+    return written(sorted_.select(*columns, F.monotonically_increasing_id().alias("name")), label)
 
 
 def identities(docs: DataFrame, keys: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key_id, text_sha256, level, name) of each row whose length and fingerprint another row shares; (level, name) is its text's identity."""
-    shared = keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print")
+    shared = written(keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print"), "shared-prints")  # a plain table, so that a hot key's partition can be split
     texts = _keys(docs).join(shared.hint("shuffle_hash"), ["n_norm", "print"], "left_semi")
     blocks = written(
         texts.select(
