@@ -236,7 +236,9 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = components(links)
     # Buckets of the same members are one task; those within one component, or of two members, are settled.
     named = members.filter("n > 2").select(F.col("who").alias("task"), "n", "node").distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "named-members")
     open_ = named.groupBy("task").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("task")
+    open_ = written(open_, "open-tasks")
     tasks = named.join(open_, "task").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = tasks.select("task", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select(F.xxhash64("task").alias("task"), "node", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
