@@ -136,7 +136,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     nodes = arrow_map(rows.filter(F.octet_length("text") >= length), find, "doc_id long, print long, m int, near int, far int, gram long, name long")
-    twice = nodes.groupBy("gram").count().filter("count > 1").select("gram")
+    # Both sides of a join are plain tables wherever a key can be hot, so that a large partition can be split.
+    twice = written(nodes.groupBy("gram").count().filter("count > 1").select("gram"), "repeated-grams")
     nodes = written(nodes.join(twice, "gram"), "ranges")
 
     # Round 2: ranges equal as a whole; one of each stays for round 3 where its q-gram has others.
@@ -145,7 +146,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     equal = nodes.join(classes.filter("n > 1").select("gram", "name"), ["gram", "name"])
     spans = equal.select("doc_id", "print", (F.col("m") - F.col("far")).alias("first"), (F.col("m") - F.col("near")).alias("last"))
-    several = classes.groupBy("gram").count().filter("count > 1").select("gram")
+    several = written(classes.groupBy("gram").count().filter("count > 1").select("gram"), "open-grams")
     left = classes.join(several, "gram").withColumn("settled", F.col("n") > 1)
 
     # Round 3: blocks, then single strings.
@@ -172,6 +173,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several_places = F.min(place) != F.max(place)
     parts = written(arrow_map(texts, split, schema), "blocks")
     shared = parts.groupBy("gram", "block", "inner").agg(several_places.alias("more")).filter("more").select("gram", "block", "inner")
+    shared = written(shared, "shared-parts")
     parts = written(parts.join(shared, ["gram", "block", "inner"]), "shared-blocks")
     wholes = parts.filter("whole is not null").groupBy("gram", "block", "whole").agg(several_places.alias("more"), F.min(F.struct("doc_id", "print", "m")).alias("one"))
     same = parts.filter("not settled").join(wholes.filter("more").select("gram", "block", "whole"), ["gram", "block", "whole"])
