@@ -44,9 +44,8 @@ def _names(things: DataFrame, columns: list[str], label: str) -> DataFrame:
     return written(sorted_.select(*columns, F.monotonically_increasing_id().alias("name")), label)
 
 
-def identities(docs: DataFrame, keys: DataFrame, block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, keys: DataFrame, shared: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key_id, text_sha256, level, name) of each row whose length and fingerprint another row shares; (level, name) is its text's identity."""
-    shared = written(keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print"), "shared-prints")  # a plain table, so that a hot key's partition can be split
     texts = _keys(docs).join(shared.hint("shuffle_hash"), ["n_norm", "print"], "left_semi")
     blocks = written(
         texts.select(
@@ -78,11 +77,12 @@ def identities(docs: DataFrame, keys: DataFrame, block: int = BLOCK) -> DataFram
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
     keys = written(_keys(docs).drop("norm"), "exact-keys")
-    counts = keys.groupBy("n_norm", "print").agg(F.count("*").alias("alike"))
-    marked = keys.join(counts, ["n_norm", "print"])
-    alone = marked.filter("alike = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
-    names = identities(docs, keys, block)
-    alike = marked.filter("alike > 1").alias("d").join(names.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.key_id")) & (F.col("d.text_sha256") == F.col("n.text_sha256")))
+    # A plain table, so that the partition of a hot key can be split.
+    shared = written(keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print"), "shared-prints")
+    marked = keys.join(shared.withColumn("alike", F.lit(True)), ["n_norm", "print"], "left")
+    alone = marked.filter("alike is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
+    names = identities(docs, keys, shared, block)
+    alike = marked.filter("alike").alias("d").join(names.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.key_id")) & (F.col("d.text_sha256") == F.col("n.text_sha256")))
     alike = alike.select("d.doc_id", "d.text_sha256", "n_points", "level", "name")
     best = alike.groupBy("level", "name").agg(
         F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("keep_id"))).alias("best")
