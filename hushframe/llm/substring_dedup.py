@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import arrow_map, slices, written
+from hushframe.llm.common import arrow_map, discard, written
 from hushframe.llm.minhash_dedup import mix
 
 LENGTH = 400
@@ -171,10 +171,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # A repeated row brings its blocks again, so places are told apart rather than rows counted.
     place = F.xxhash64("doc_id", "print", "m")
     several_places = F.min(place) != F.max(place)
-    parts = written(arrow_map(texts, split, schema), "blocks")
-    shared = parts.groupBy("gram", "block", "inner").agg(several_places.alias("more")).filter("more").select("gram", "block", "inner")
+    every = written(arrow_map(texts, split, schema), "blocks")
+    shared = every.groupBy("gram", "block", "inner").agg(several_places.alias("more")).filter("more").select("gram", "block", "inner")
     shared = written(shared, "shared-parts")
-    parts = written(parts.join(shared, ["gram", "block", "inner"]), "shared-blocks")
+    parts = written(every.join(shared, ["gram", "block", "inner"]), "shared-blocks")
+    discard(every, shared, several)
     wholes = parts.filter("whole is not null").groupBy("gram", "block", "whole").agg(several_places.alias("more"), F.min(F.struct("doc_id", "print", "m")).alias("one"))
     same = parts.filter("not settled").join(wholes.filter("more").select("gram", "block", "whole"), ["gram", "block", "whole"])
     spans = spans.unionByName(same.select("doc_id", "print", (F.col("m") - F.col("far")).alias("first"), (F.col("m") - F.col("near")).alias("last")))
@@ -187,7 +188,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = single.groupBy("gram", "k", "string").agg(several_places.alias("more")).filter("more").select("gram", "k", "string")
     found = single.filter("not done").join(again, ["gram", "k", "string"]).withColumn("first", F.col("m") - F.col("k"))
     spans = spans.unionByName(found.select("doc_id", "print", "first", F.col("first").alias("last")))
-    return spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    out = written(spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeats")
+    discard(nodes, twice, classes, parts)
+    return out
 
 
 def covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
