@@ -1,6 +1,8 @@
-"""Operator 6: a quality classifier by an interpolated modified Kneser-Ney model of character n-grams.
+"""Operator 6: a quality classifier by interpolated modified Kneser-Ney models of word n-grams and of character n-grams.
 
-Characters fall into 64 classes (letters by themselves, capitals, digits, marks, others), so there are at most 64^4 four-grams: that bounds
+Word n-grams (1 to 3) of all trusted texts are counted and joined to each document's own by `word_model.py`; those tables grow with the corpus.
+A text less probable by words than nearly all trusted texts of its language is rejected. No text is rejected for being probable by words: a near
+copy of a trusted text is. The character model is a second signal, about spelling and layout. Its characters fall into 64 classes (letters by themselves, capitals, digits, marks, others), so there are at most 64^4 four-grams: that bounds
 every table, whatever the corpus. Four-grams of all trusted texts are counted in their tasks and summed by shards; lower orders count distinct
 continuations, joined and summed the same way. Discounts come from counts of counts. The bounded table of log-probabilities goes to the workers, which give each
 document's perplexity over its whole text. For each language, quantiles of the perplexity of trusted texts set a lower
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import slices, written
+from hushframe.llm import word_model
+from hushframe.llm.common import discard, slices, written
 
 ORDER, CLASSES = 4, 64
 #: Share of trusted texts beyond each threshold, the factor by which thresholds are widened, and the trusted texts a language needs.
@@ -177,23 +180,30 @@ def perplexities(docs: DataFrame, table: Model | None, columns: list[str]) -> Da
 
 
 def judged(docs: DataFrame, labels: DataFrame, tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, text_key, perplexity, lower, upper and kept of every document."""
+    """doc_id, lang, text_key, perplexity, lower, upper, word_perplexity, word_upper and kept of every document."""
     trusted_ids = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     trusted = docs.select("doc_id", "text").join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi")
     table = model(trusted)
     keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
     scored = written(perplexities(keyed, table, ["doc_id", "lang", "text_key", "has_text"]), "perplexities")
+    keys = F.xxhash64("text").alias("text_key")
+    words = word_model.perplexities(docs.select(keys, "text"), trusted.select(keys, "text"))
+    by_letters, scored = scored, written(scored.join(words, "text_key", "left"), "both-perplexities")
+    discard(by_letters, words)
     good = scored.join(trusted_ids, "doc_id", "left_semi").filter("perplexity is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
-    ends = lambda rows: rows.agg(F.count("*").alias("n"), F.percentile_approx("perplexity", [tail, 1 - tail], 100_000).alias("q"))
+    ends = lambda rows: rows.agg(F.count("*").alias("n"), *(F.percentile_approx(c, [tail, 1 - tail], 100_000).alias(q) for c, q in (("perplexity", "q"), ("word_perplexity", "wq"))))
     overall = ends(good.groupBy()).first()  # one row
     all_q = F.array(*map(F.lit, overall["q"] or [None, None])).cast("array<double>")
+    all_w = F.lit(overall["wq"][1] if overall["wq"] else None).cast("double")
     of = written(ends(good.groupBy("lang")).withColumnRenamed("lang", "of_lang"), "thresholds")  # as a table its size is known to the join
     rows = scored.join(of, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
     few = F.coalesce("n", F.lit(0)) < ENOUGH
     lower = F.when(few, F.least(all_q[0], F.col("q")[0]) / FEW_MARGIN).otherwise(F.col("q")[0] / margin)
     upper = F.when(few, F.greatest(all_q[1], F.col("q")[1]) * FEW_MARGIN).otherwise(F.col("q")[1] * margin)
-    rows = rows.select("doc_id", "lang", "text_key", "perplexity", "has_text", lower.alias("lower"), upper.alias("upper"))
+    word_upper = F.when(few, F.greatest(all_w, F.col("wq")[1]) * FEW_MARGIN).otherwise(F.col("wq")[1] * margin)
+    rows = rows.select("doc_id", "lang", "text_key", "perplexity", "has_text", lower.alias("lower"), upper.alias("upper"), "word_perplexity", word_upper.alias("word_upper"))
     inside = F.coalesce((F.col("perplexity") >= F.col("lower")) & (F.col("perplexity") <= F.col("upper")), F.lit(False))
+    inside = inside & F.coalesce(F.col("word_perplexity") <= F.col("word_upper"), F.lit(True))  # unknown where the other half has no trusted text
     return rows.withColumn("kept", inside | F.lit(overall["n"] == 0) & F.col("has_text")).drop("has_text")
 
 

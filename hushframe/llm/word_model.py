@@ -1,0 +1,204 @@
+"""An interpolated modified Kneser-Ney model of word n-grams (1 to 3) and each text's perplexity under it, by joins; its tables grow with the corpus.
+
+Texts are halved by a hash of the text, and each half is scored by the model of the other half's trusted texts, so that no text is judged by
+its own counts. Trigrams are counted in their tasks and summed by shards. In back-off form a text's log-probability is a sum of one value
+for each of its n-grams: a seen trigram's gain over its back-off, a bigram's gain and its back-off weight, a word's own. So each text's distinct
+n-grams of all orders are joined to one table (key, value) once. The table's most frequent keys go to the workers, as a join's common keys would meet in one
+task; this changes no result. The join is made in rounds over parts of the keys, which bounds the disk in use.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from hushframe.llm.common import Kept, discard, slices, written
+
+_ALONE = "぀-ヿ㐀-鿿가-힯"  # characters of scripts without spaces are words by themselves
+WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+|[^\w\s]")
+#: Most keys that go to the workers, and rounds of the join.
+HEAD, ROUNDS = 1 << 17, 3
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+#: They hold a space, as no word does.
+START, END = word_hash(" start"), word_hash(" end")
+
+
+def hashes(text: str, of: Kept) -> np.ndarray:
+    """Hashes of a text's words between two start signs and an end sign."""
+    return np.fromiter(chain((START, START), map(of.__getitem__, WORD.findall(text.lower())), (END,)), np.int64)
+
+
+def bigram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.view(np.uint64) * _MIX[0] + b.view(np.uint64) * _MIX[1]).view(np.int64)
+
+
+def trigram_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a.view(np.uint64) * _MIX[2] + b.view(np.uint64) * _MIX[3] + c.view(np.uint64) * _MIX[4]).view(np.int64)
+
+
+def all_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a text's n-grams of all orders, with repeats."""
+    return np.concatenate([h[1:], bigram_keys(h[:-1], h[1:]), trigram_keys(h[:-2], h[1:-1], h[2:])])
+
+
+def trigrams(texts: DataFrame) -> DataFrame:
+    """(a, b, c, n) over all texts: counted slice by slice in the tasks, then summed by shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Kept(word_hash)
+        for part in chain.from_iterable(map(slices, batches)):
+            hs = [hashes(t, of) for t in part.column(0).to_pylist()]
+            a, b, c = (np.concatenate([h[k : len(h) - 2 + k] for h in hs]) for k in range(3))
+            _, at, n = np.unique(trigram_keys(a, b, c), return_index=True, return_counts=True)
+            for k in range(0, len(at), 1 << 16):
+                some = at[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, c)] + [pa.array(n[k : k + (1 << 16)].astype(np.int64))], ["a", "b", "c", "n"])
+
+    return texts.select("text").filter("length(text) > 0").mapInArrow(run, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def _discount(counts: DataFrame) -> Column:
+    """The modified discount of a row's n, from counts of counts."""
+    c = {r["n"]: r["count"] for r in counts.filter("n <= 4").groupBy("n").count().collect()}  # at most four rows
+    n = [c.get(i, 0) for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    d = [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else i * 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def _keyed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(key, value, n) of rows with words a, b (and c), value and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            keys = bigram_keys(*words) if len(words) == 2 else trigram_keys(*words)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns[len(names) :]], ["key", "value", "n"])
+
+    return rows.select(*names, F.col("value").cast("float"), F.col("n").cast("long")).mapInArrow(run, "key long, value float, n long")
+
+
+def model(trusted: DataFrame) -> tuple[list[DataFrame], float] | None:
+    """The written parts of the table (key, value, n) of all n-grams seen in the texts and the log-probability of an unseen word; None without texts."""
+    grams = written(trigrams(trusted), "trigrams")
+    pairs = written(grams.groupBy(F.col("b").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n")), "bigrams")
+    words = written(pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n")), "words")
+    seen = words.agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).first()
+    if not seen["kinds"]:
+        discard(grams, pairs, words)
+        return None
+    unseen = float(np.log(0.5 / (seen["kinds"] + 1)))  # half the mass is spread evenly, so no word is impossible
+    one = words.select("a", "n", F.log(F.lit(0.5) * F.col("n") / seen["all"] + 0.5 / (seen["kinds"] + 1)).alias("l1"))
+    d2, d3 = _discount(pairs), _discount(grams)
+    after_word = pairs.groupBy("a").agg(F.sum("n").alias("all"), F.sum(d2).alias("held"))
+    after_pair = grams.groupBy("a", "b").agg(F.sum("n").alias("all"), F.sum(d3).alias("held"))
+    l1, w1 = F.col("l1"), F.log(F.col("held") / F.col("all"))
+    two = pairs.join(after_word, "a").join(one.select(F.col("a").alias("b"), "l1"), "b")
+    two = written(two.select("a", "b", "n", F.log((F.col("n") - d2) / F.col("all") + F.exp(w1 + l1)).alias("l2"), (w1 + l1).alias("back")), "bigram-model")
+    l2, w2 = F.col("l2"), F.log(F.col("held") / F.col("all"))
+    values = _keyed(two.select("a", "b", (l2 - F.col("back")).alias("value"), "n"), ["a", "b"])
+    values = values.unionByName(_keyed(after_pair.select("a", "b", w2.alias("value"), F.col("all").alias("n")), ["a", "b"]))
+    values = values.unionByName(one.select(F.col("a").alias("key"), (l1 - unseen).cast("float").alias("value"), "n"))
+    values = values.unionByName(after_word.select(F.col("a").alias("key"), w1.cast("float").alias("value"), F.col("all").alias("n")))
+    values = values.groupBy("key").agg(F.sum("value").cast("float").alias("value"), F.max("n").alias("n"))
+    parts = [written(values, "word-model")]
+    for k in range(ROUNDS):  # by the middle word, which a trigram's context and its back-off share
+        some = grams.filter(F.pmod("b", F.lit(ROUNDS)) == k)
+        ends = two.select(F.col("a").alias("b"), F.col("b").alias("c"), "l2").filter(F.pmod("b", F.lit(ROUNDS)) == k)
+        three = some.join(after_pair.filter(F.pmod("b", F.lit(ROUNDS)) == k), ["a", "b"]).join(ends, ["b", "c"])
+        three = three.select("a", "b", "c", (F.log((F.col("n") - d3) / F.col("all") + F.exp(w2 + l2)) - w2 - l2).alias("value"), "n")
+        parts.append(written(_keyed(three, ["a", "b", "c"]), "word-model"))
+    discard(grams, pairs, words, two)
+    return parts, unseen
+
+
+def head(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of at most `most` of the table's most frequent n-grams."""
+    steps = table.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().collect()  # some hundred rows at most
+    total, least = 0, None
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    found = table.filter(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow()
+    keys, values = (found.column(k).to_numpy() for k in ("key", "value"))
+    at = np.argsort(keys)
+    return keys[at], values[at]
+
+
+def _scores(texts: DataFrame, table: DataFrame, unseen: float) -> list[DataFrame]:
+    """Written tables (text_key, total, words), to be summed by text_key: log-probability and count of words of each text."""
+    shared = texts.sparkSession.sparkContext.broadcast(head(table, HEAD))
+
+    def asked(part_of: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, (common, values) = Kept(word_hash), shared.value
+            for part in chain.from_iterable(map(slices, batches)):
+                out = []
+                for text_key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    h = hashes(text, of)
+                    keys = all_keys(h)
+                    keys, n = np.unique(keys[keys % ROUNDS == part_of], return_counts=True)
+                    own = 0.0
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                        found = common[at] == keys
+                        own = float((n[found] * values[at[found]].astype(np.float64)).sum())
+                        keys, n = keys[~found], n[~found]
+                    if part_of == 0:
+                        own += (len(h) - 2) * unseen
+                    # the text's own row has a key that spreads and n = 0
+                    out.append((np.append(keys, text_key), np.append(n, 0), text_key, own, len(h) - 2 if part_of == 0 else 0))
+                sizes = [len(o[0]) for o in out]
+                ends = np.cumsum(sizes) - 1
+                own, words = np.zeros(sum(sizes)), np.zeros(sum(sizes), np.int64)
+                own[ends], words[ends] = [o[3] for o in out], [o[4] for o in out]
+                columns = [np.concatenate([o[0] for o in out]), np.repeat(np.array([o[2] for o in out], np.int64), sizes), np.concatenate([o[1] for o in out]).astype(np.int32), own, words]
+                for k in range(0, len(own), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], ["key", "text_key", "n", "own", "words"])
+
+        return run
+
+    out = []
+    for k in range(ROUNDS):
+        rows = texts.select("text_key", "text").mapInArrow(asked(k), "key long, text_key long, n int, own double, words long")
+        rows = rows.join(table.filter(F.pmod("key", F.lit(ROUNDS)) == k).select("key", "value").hint("shuffle_hash"), "key", "left")
+        total = F.sum(F.col("own") + F.col("n") * F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
+        out.append(written(rows.groupBy("text_key").agg(total.alias("total"), F.sum("words").alias("words")), "word-scores"))
+    return out
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text_key, word_perplexity) of each distinct text that isn't empty, from docs and trusted with text_key and text; a half without a model is left out."""
+    half = F.pmod(F.col("text_key"), F.lit(2))
+    parts = []
+    for k in (0, 1):
+        found = model(trusted.filter(half == 1 - k))
+        if found is None:
+            continue
+        tables, unseen = found
+        parts += _scores(docs.filter("length(text) > 0").filter(half == k), reduce(DataFrame.unionByName, tables), unseen)
+        discard(*tables)
+    if not parts:
+        return written(docs.sparkSession.createDataFrame([], "text_key long, word_perplexity double"), "word-perplexities")
+    rows = reduce(DataFrame.unionByName, parts).groupBy("text_key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
+    out = written(rows.select("text_key", F.exp(-F.col("total") / F.col("words")).alias("word_perplexity")), "word-perplexities")
+    discard(*parts)
+    return out

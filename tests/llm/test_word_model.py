@@ -1,0 +1,80 @@
+import random
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from hushframe.llm import quality, word_model
+from tests.llm.fixtures import documents, rows
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def brute_perplexity(trusted, text):
+    """The definition, with dictionaries of words."""
+    words = lambda t: ["<s>", "<s>", *word_model.WORD.findall(t.lower()), "</s>"]
+    counts = {3: Counter(g for t in trusted for g in zip(words(t), words(t)[1:], words(t)[2:]))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    kinds, total = len(counts[1]), sum(counts[1].values())
+    held, discount = {}, {}
+    for k in (2, 3):
+        n = Counter(counts[k].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        discount[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] and n[i + 1] else i * 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
+        for g, c in counts[k].items():
+            s = held.setdefault(g[:-1], [0, 0.0])
+            s[0] += c
+            s[1] += discount[k][min(c, 3) - 1]
+
+    def p(g):
+        if len(g) == 1:
+            return 0.5 / (kinds + 1) + 0.5 * counts[1][g] / total
+        s = held.get(g[:-1])
+        if s is None:
+            return p(g[1:])
+        c = counts[len(g)][g]
+        return ((c - discount[len(g)][min(c, 3) - 1]) / s[0] if c else 0.0) + s[1] / s[0] * p(g[1:])
+
+    w = words(text)
+    return np.exp(-np.mean([np.log(p(g)) for g in zip(w, w[1:], w[2:])]))
+
+
+def test_word_perplexity_against_the_definition(spark, monkeypatch):
+    docs = documents(spark, [(i, t, "en", "s", 0, "x") for i, t in enumerate(dict.fromkeys(r[1] for r in rows() if r[1]))]).withColumn("text_key", F.xxhash64("text"))
+    trusted = docs.filter("doc_id < 30")
+    for most in (word_model.HEAD, 0):  # with and without keys that go to the workers
+        monkeypatch.setattr(word_model, "HEAD", most)
+        got = {r.text_key: r.word_perplexity for r in word_model.perplexities(docs, trusted).collect()}
+        data = docs.collect()
+        assert len(got) == len(data)
+        for r in data:
+            others = [t.text for t in data if t.doc_id < 30 and t.text_key % 2 != r.text_key % 2]
+            assert abs(got[r.text_key] / brute_perplexity(others, r.text) - 1) < 1e-3
+
+
+def test_what_is_counted_grows_with_the_texts(spark):
+    texts = [(k, " ".join(f"w{k * 50 + j}" for j in range(50))) for k in range(400)]
+    sizes = [sum(part.count() for part in word_model.model(spark.createDataFrame(texts[:n], "doc_id long, text string"))[0]) for n in (200, 400)]
+    assert sizes[1] > 1.9 * sizes[0]
+
+
+def test_strange_words_of_ordinary_letters_are_rejected(spark):
+    pick, syllables = random.Random(4), "ba co di fu ge ha jo ku".split()
+    words = [a + b + c for a in syllables for b in syllables for c in syllables]
+    pick.shuffle(words)
+    text = lambda some: " ".join(pick.choice(some) for _ in range(pick.randrange(60, 120))) + "."
+    good = [(k, text(words[:256]), "en", "s", 1, "x") for k in range(300)]
+    junk = [(1000 + k, text(words[256:]), "en", "s", 1, "x") for k in range(20)]
+    judged = quality.judged(documents(spark, good + junk), spark.createDataFrame([(k, 1, 0) for k in range(300)], LABELS)).collect()
+    assert [r.doc_id for r in judged if r.kept != (r.doc_id < 1000)] == []
+    assert all(r.word_perplexity > r.word_upper for r in judged if r.doc_id >= 1000)
+
+
+def test_junk_that_letters_let_pass_is_rejected(spark):
+    """On the given table, whose junk of made-up words has an ordinary character perplexity."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.judged(docs, labels).join(labels, "doc_id").select("quality", "kept", F.expr("perplexity between lower and upper").alias("by_letters")).collect()
+    junk, good = ([r for r in found if r.quality == q] for q in (0, 1))
+    assert sum(r.by_letters for r in junk) > 0 and sum(r.kept for r in junk) < sum(r.by_letters for r in junk)
+    assert all(r.kept for r in good)
