@@ -85,23 +85,40 @@ def decode_tags(data: bytes, kinds: list[str | None]) -> list[tuple[str, int, in
     return [tuple(s) for s in out if s[2] - s[1] >= LEAST_SPAN]
 
 
+def scored(data: bytes, scorer: Callable[[bytes], list[str | None]]) -> list[str | None]:
+    """Each byte's kind, window by window over the whole text: a later window wins unless it says None."""
+    kinds: list[str | None] = [None] * len(data)
+    for start in range(0, len(data), STRIDE):
+        window = data[start : start + WIDTH]
+        if len(window) < LEAST_WINDOW:
+            break
+        for k, kind in zip(range(start, start + len(window)), scorer(window), strict=True):
+            if kind is not None:
+                kinds[k] = kind
+        if start + WIDTH >= len(data):
+            break
+    return kinds
+
+
 def tag_spans(docs: DataFrame, scorer: Callable[[bytes], list[str | None]]) -> DataFrame:
-    """(doc_id, kind, start, end) in characters, from a scorer that gives each byte's kind or None. A scorer that fails marks its whole text."""
+    """(doc_id, kind, start, end) in characters, from a scorer that gives each byte's kind or None, over whole texts. A scorer that fails marks its whole text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                data = (text or "").encode()[:1_000_000]
+                data = (text or "").encode()
                 if len(data) < LEAST_TEXT:
                     continue
                 try:
-                    spans = decode_tags(data, scorer(data))
+                    spans = decode_tags(data, scored(data, scorer))
                 except Exception:  # noqa: BLE001  an unknown answer means more redaction, never less
                     spans = [("unscanned", 0, len(data))]
+                at = chars = 0  # spans are in order and apart, so each byte is decoded once
                 for kind, a, b in spans:
-                    start = len(data[:a].decode("utf-8", "ignore"))
-                    out.append((doc_id, kind, start, start + len(data[a:b].decode("utf-8", "ignore"))))
+                    start = chars + len(data[at:a].decode("utf-8", "ignore"))
+                    at, chars = b, start + len(data[a:b].decode("utf-8", "ignore"))
+                    out.append((doc_id, kind, start, chars))
             yield pd.DataFrame(out, columns=["doc_id", "kind", "start", "end"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, start int, end int")

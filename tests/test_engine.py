@@ -109,6 +109,20 @@ def test_tags_to_spans(spark):
     assert [tuple(r) for r in tagger.tag_spans(docs, broken).collect()] == [(1, "unscanned", 0, 22)]
 
 
+def test_tagger_reads_texts_of_over_a_million_bytes_whole(spark):
+    text = "é " * 400_000 + "call 12345 now " + "a" * 310 + " 678901 end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert {text[r.start : r.end] for r in tagger.tag_spans(docs, tagger.digit_scorer).collect()} == {"12345", "678901"}
+    seen = []
+    tagger.scored(text.encode(), lambda window: seen.append(len(window)) or [None] * len(window))
+    assert max(seen) == tagger.WIDTH and len(seen) == -(-(len(text.encode()) - tagger.WIDTH) // tagger.STRIDE) + 1
+
+    def broken(data):
+        raise RuntimeError
+
+    assert [tuple(r) for r in tagger.tag_spans(docs, broken).collect()] == [(1, "unscanned", 0, len(text))]
+
+
 def test_windows_cover_everything(spark):
     for n in (0, 5, 8, 384, 385, 700, 1000, 1345):
         starts = spark.range(1).select(tagger.window_starts(F.lit(n))).first()[0]
