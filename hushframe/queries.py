@@ -493,6 +493,13 @@ def norm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", evaluate.norm_value(head).alias("loose"), evaluate.norm_external(head).alias("strict"))
 
 
+@query("SELECT doc_id, len(loose) AS n_loose, md5(loose) AS loose_md5, len(strict) AS n_strict, md5(strict) AS strict_md5 FROM (SELECT doc_id, replace(upper(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), 'ẞ', 'SS') AS loose, lower(regexp_replace(text, '[^a-zA-Z0-9@.]', '', 'g')) AS strict FROM documents)")
+def norm_whole_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """norm_values over whole texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", evaluate.norm_value(F.col("text")).alias("loose"), evaluate.norm_external(F.col("text")).alias("strict"))
+    return rows.select("doc_id", *(c for k in ("loose", "strict") for c in (F.length(k).cast("long").alias(f"n_{k}"), F.md5(k).alias(f"{k}_md5"))))
+
+
 # Planner and loop. -------------------------------------------------------------------------------------------------------
 
 _STEPS = "SELECT user_id AS run_id, event_id AS n, case when event_type = 'purchase' AND event_id % 5 = 0 then 'noop' else 'click' end AS kind, concat(event_type, cast(event_id % 2 AS string)) AS signature, event_id % 11 <> 0 AS executed FROM events"
