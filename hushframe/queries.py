@@ -583,6 +583,13 @@ def page_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", records.escape_html(F.substring("html", 1, 300)).alias("escaped"), records.history_host(F.col("url")).alias("host"))
 
 
+@query("SELECT page_id, len(escaped) AS n_escaped, md5(escaped) AS escaped_md5 FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '\"', '&quot;', 'g'), chr(39), '&#39;', 'g') AS escaped FROM pages)")
+def page_whole_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The escapes of page_escapes over whole pages."""
+    rows = table(spark, sf_dir, "pages").select("page_id", records.escape_html(F.col("html")).alias("escaped"))
+    return rows.select("page_id", F.length("escaped").cast("long").alias("n_escaped"), F.md5("escaped").alias("escaped_md5"))
+
+
 @query(
     """SELECT c_custkey AS id, case c_custkey % 4 when 0 then 'Timed out waiting for the page.' when 1 then 'Cannot reach the server. Is it running on port 8000?' when 2 then c_name else 'No content script on this page. Browser-internal pages cannot be scanned — try a normal website.' end AS said,
       least(20, greatest(1, coalesce(nullif(try_cast(case when c_custkey % 3 = 0 then 'x' else cast(c_custkey % 40 - 5 AS varchar) end AS int), 0), 8))) AS steps FROM customer"""
