@@ -155,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, swaps: float = SWAPS) -> DataFrame
         weights, bias = fit(sample(rows, number), len(number), swaps)
     else:
         share = rows.agg(F.avg("y")).first()[0]
-        weights, bias = np.zeros(0), (-40.0 if not share else 40.0)
+        weights, bias = np.zeros(0), (-40.0 if not share else 40.0 if share == 1 else float(np.log(share / (1 - share))))
     model = docs.sparkSession.sparkContext.broadcast((number, weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,6 +58,13 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(documents(spark, []), none).count() == 0
 
 
+def test_toxicity_with_few_labels_is_their_share(spark):
+    ids = [k for k in range(30) if zlib.crc32(str(k).encode()) % 5][:10]
+    docs = documents(spark, [(k, f"some words {k}", "en", "s", 1, "x") for k in ids] + [(5000, "", None, None, None, None)])
+    scored = toxicity.score(docs, spark.createDataFrame([(k, 1, int(n < 3)) for n, k in enumerate(ids)], LABELS)).collect()
+    assert len(scored) == 11 and all(abs(r.score - 0.3) < 1e-9 and r.predicted == 0 for r in scored)
+
+
 def brute_kneser_ney(texts, order=4):
     """The definition, with dictionaries."""
     counts = {order: Counter(g for t in texts for g in map(tuple, np.lib.stride_tricks.sliding_window_view(quality.symbols(t), order).tolist()))}
