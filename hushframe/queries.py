@@ -420,6 +420,22 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
 
 
+@query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, unnest(list_distinct(list_append(range(0, len(text), 384), len(text)))) AS n FROM documents)")
+def byte_whole_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """byte_offsets at every 384th character of a text and at its end."""
+    n = F.length("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), n, F.lit(384)), F.array(n)))).alias("n"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, unnest(list_distinct(list_append(range(0, len(text), 384), len(text)))) AS n FROM documents)")
+def byte_whole_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """byte_offsets at every 384th character of a text and at its end."""
+    n = F.length("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), n, F.lit(384)), F.array(n)))).alias("n"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
+
+
 @query()
 def tag_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagger.tag_spans(table(spark, sf_dir, "documents"), tagger.digit_scorer)
