@@ -1,213 +1,260 @@
-"""Operator 6: a quality classifier by interpolated modified Kneser-Ney models of word n-grams and of character n-grams.
-
-Word n-grams (1 to 3) of all trusted texts are counted and joined to each document's own by `word_model.py`; those tables grow with the corpus.
-A text less probable by words than nearly all trusted texts of its language is rejected. No text is rejected for being probable by words: a near
-copy of a trusted text is. The character model is a second signal, about spelling and layout. Its characters fall into 64 classes (letters by themselves, capitals, digits, marks, others), so there are at most 64^4 four-grams: that bounds
-every table, whatever the corpus. Four-grams of all trusted texts are counted in their tasks and summed by shards; lower orders count distinct
-continuations, joined and summed the same way. Discounts come from counts of counts. The bounded table of log-probabilities goes to the workers, which give each
-document's perplexity over its whole text. For each language, quantiles of the perplexity of trusted texts set a lower
-and an upper threshold, with a margin; a text outside them is rejected (too improbable, or too repetitive).
-
-Trusted texts are those labelled quality 1. A language with fewer than 50 of them takes the wider of its own and the overall thresholds, widened more; with no trusted text at all
-nothing is rejected. Null and empty texts have no perplexity and are rejected. Texts are read whole; repeated rows are judged alike;
-other columns pass through.
+"""Operator 6: a quality classifier by an interpolated modified Kneser-Ney model of character n-grams, counted and joined by shards.
+
+Symbols are the code points themselves, order 5, so every table grows with what the corpus holds. Documents are dealt into groups by a hash of doc_id; a
+group's distinct 5-grams, with their counts in its trusted texts, are gathered in its task before anything is shuffled. Counts are summed by
+shards of the n-gram; lower orders count distinct continuations; discounts come from counts of counts. Each group's distinct n-grams are
+joined to the shards' probabilities and come back to the group, where they give each document's perplexity over its whole text. No table is gathered on the
+driver or broadcast by this module.
+
+Groups are halved, and each half is scored by the model of the other half's trusted texts: a text never adds to the counts it is judged by (a copy of it with
+another doc_id may). So the trusted texts that set the thresholds are held out too. A language's thresholds are quantiles of the perplexity of its trusted
+texts, drawn towards the overall ones and widened by a weight that falls steadily with their number; short texts are steadied by a prior. A text outside them is rejected: too improbable, or too repetitive.
+
+Trusted texts are those labelled quality 1 (the least label, where a doc_id has several). Where the other half has no trusted text, or none exist at all, there is no
+perplexity and nothing but empty texts is rejected. Null and empty texts have no perplexity and are rejected. A null lang is a language of its own. Repeated rows
+are judged alike; a null doc_id is never trusted. U+0000 counts as U+FFFD. Other columns pass through good_documents, whatever their names.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm import word_model
 from hushframe.llm.common import discard, slices, written
 
-ORDER, CLASSES = 4, 64
-#: Share of trusted texts beyond each threshold, the factor by which thresholds are widened, and the trusted texts a language needs.
-TAIL, MARGIN, ENOUGH = 0.0005, 1.02, 50
-#: The factor for a language with fewer.
-FEW_MARGIN = 1.25
-#: Characters with a class of their own after the 26 letters; fixed values.
-MARKS = " \n.,;:!?'\"-()|/%$&#*"
-WIDE = 0x3000
-
-
-def character_class(c: int) -> int:
-    char = chr(c)
-    if "a" <= char <= "z":
-        return ord(char) - 97
-    if (k := MARKS.find(char)) >= 0:
-        return 26 + k
-    kind = unicodedata.category(char)
-    if kind == "Lu" or kind == "Lt":
-        return 46 + c % 3
-    if kind[0] == "L":
-        return 49 + c % 8
-    return {"N": 57, "Z": 26, "P": 58, "S": 59, "M": 60}.get(kind[0], 61)
-
-
-TABLE = np.array([character_class(c) if not 0xD800 <= c < 0xE000 else 61 for c in range(WIDE)], np.uint8)
-START = 62
-
-
-def symbols(text: str) -> np.ndarray:
-    """Classes of a text's characters after three start signs."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = TABLE[np.minimum(points, WIDE - 1)]
-    classes[points >= WIDE] = 63
-    return np.concatenate([np.full(ORDER - 1, START, np.uint8), classes])
-
-
-def four_grams(text: str) -> np.ndarray:
-    s = symbols(text).astype(np.int32)
-    return ((s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6)) | s[3:]
-
-
-def counted(trusted: DataFrame) -> DataFrame:
-    """(gram, n) over all trusted texts: counted in each task, then summed by shards of the gram."""
+ORDER = 5
+#: Bytes of text in a group, about; characters handled together; rows of n-grams held before they are merged.
+GROUP, PIECE, MERGE = 8 << 20, 1 << 20, 1 << 20
+#: Share of trusted texts beyond each threshold; widening in log perplexity with many trusted texts, and with none; the number at which both weights are a half.
+TAIL, MARGIN, FEW_MARGIN, HALFWAY = 0.0005, 0.02, 0.22, 50
+#: Symbols at its language's median that a text is taken together with.
+PRIOR = 200
+#: Stands before a text's first character.
+START = "\x02"
+
+
+def pieces(texts: list[str], most: int = PIECE) -> Iterator[tuple[list[int], list[str]]]:
+    """(which text, part) lists of about `most` characters together; each part begins with the ORDER - 1 symbols before it."""
+    of, parts, n = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), most):
+            part = text[max(0, at - ORDER + 1) : at + most]
+            of.append(i)
+            parts.append(part if at >= ORDER - 1 else START * (ORDER - 1 - at) + part)
+            n += len(part)
+            if n >= most:
+                yield of, parts
+                of, parts, n = [], [], 0
+    if parts:
+        yield of, parts
+
+
+def distinct_grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of the parts, the index of each position's n-gram among them, and the number of positions of each part."""
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    points[points == 0] = 0xFFFD
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) - (ORDER - 1)
+    at = np.arange(sizes.sum()) + (ORDER - 1) * np.repeat(np.arange(len(parts)), sizes)
+    seen = np.zeros(int(points.max()) + 1, np.int64)
+    seen[points] = 1
+    kinds = int(seen.sum())
+    symbol = (np.cumsum(seen) - 1)[points]
+    key, most = symbol[at], kinds
+    for k in range(1, ORDER):
+        if most * kinds >= 1 << 62:  # rename what is there so far
+            key, found = pd.factorize(key)
+            key, most = key.astype(np.int64), len(found)
+        key = key * kinds + symbol[at + k]
+        most *= kinds
+    index, found = pd.factorize(key)
+    first = np.empty(len(found), np.int64)
+    first[index[::-1]] = at[::-1]
+    grams = np.ascontiguousarray(points[first[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").reshape(-1)
+    return grams, index, sizes
+
+
+def merged(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"])
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """(group, gram, n) from rows (group, trusted, text): the distinct n-grams of each group and their counts in its trusted texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int32)
-        for part in chain.from_iterable(map(slices, batches)):
-            keys = np.concatenate([four_grams(t) for t in part.column(0).to_pylist()])
-            np.add.at(total, keys, 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["gram", "n"])
-
-    return trusted.select("text").filter("length(text) > 0").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """The three modified discounts of each order, from its counts of counts."""
-    rows = counts.filter("n <= 4").groupBy("k", "n").count().collect()  # at most four rows an order
-    out = {}
-    for k in range(2, ORDER + 1):
-        c = {r["n"]: r["count"] for r in rows if r["k"] == k}
-        n1, n2, n3, n4 = (c.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        ds = [i - (i + 1) * y * b / a if a and b else i * 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        out[k] = tuple(float(min(max(d, 0.05), i - 0.05)) for i, d in enumerate(ds, 1))
-    return out
+        held: dict[int, list[pa.Table]] = {}
+        n = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for group in list(held):
+                for b in merged(held.pop(group)).to_batches(max_chunksize=1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), group, np.int32)), b.column(0), b.column(1)], ["group", "gram", "n"])
 
-def orders(grams: DataFrame) -> DataFrame:
-    """(k, gram, n): counts of the highest order; below it, the distinct symbols seen before each gram."""
-    out = level = grams.select(F.lit(ORDER).alias("k"), "gram", "n")
+        for part in chain.from_iterable(map(slices, batches)):
+            group, trusted = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+            texts = part.column(2).to_pylist()
+            for g in np.unique(group):
+                for t in (False, True):
+                    for _, some in pieces([texts[i] for i in np.flatnonzero((group == g) & (trusted == t))]):
+                        grams, index, _ = distinct_grams(some)
+                        counts = np.bincount(index, minlength=len(grams)) if t else np.zeros(len(grams), np.int64)
+                        table = pa.table({"gram": pa.array(grams), "n": pa.array(counts.astype(np.int64))})
+                        held.setdefault(int(g), []).append(table)
+                        n += len(table)
+                        if n > MERGE:
+                            held.update({k: [merged(v)] for k, v in held.items()})
+                            n = sum(v[0].num_rows for v in held.values())
+                            if n > MERGE // 2:
+                                yield from out()
+                                n = 0
+        yield from out()
+
+    return rows.mapInArrow(run, "group int, gram string, n long")
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """(k, model, gram, n) from counts (model, gram, n): of the highest order as they are; below it, how many distinct symbols came before each gram."""
+    out = level = counts.select(F.lit(ORDER).alias("k"), "model", "gram", "n")
     for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy((F.col("gram") % CLASSES**k).cast("int").alias("gram")).agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "gram", "n")
+        level = level.groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "model", "gram", "n")
         out = out.unionByName(level)
     return out
 
 
-class Model:
-    """The seen n-grams' discounted probabilities and the contexts' back-off weights, order by order; a worker spreads them once."""
-
-    def __init__(self, ones: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.name, self.ones, self.levels = uuid.uuid4().hex, ones, levels
-
-    def logs(self) -> np.ndarray:
-        """Log-probability of the last symbol of each of the 64^4 four-grams."""
-        p = self.ones.astype(np.float32)
-        for grams, own, contexts, weights in self.levels:
-            back = np.ones(len(p), np.float32)
-            back[contexts] = weights
-            out = np.empty((CLASSES, len(p)), np.float32)
-            for k in range(CLASSES):  # the first symbol of the gram
-                out[k] = p * np.repeat(back[k * (len(p) // CLASSES) : (k + 1) * (len(p) // CLASSES)], CLASSES)
-            p = out.reshape(-1)
-            p[grams] += own
-        return np.log(p, out=p)
-
+def discount(counts: DataFrame) -> Column:
+    """The modified discount of a row's n, from the counts of counts of its model and order."""
+    rows = counts.filter("n <= 4").groupBy("model", "k", "n").count().collect()  # at most 40 rows
+    c = {(r["model"], r["k"], r["n"]): r["count"] for r in rows}
+    keys, values = [], []
+    for model, k in sorted({(r["model"], r["k"]) for r in rows}):
+        n = [c.get((model, k, i), 0) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        for i in (1, 2, 3):
+            d = i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else i * 0.5
+            keys.append(F.lit(f"{model} {k} {i}"))
+            values.append(F.lit(float(min(max(d, 0.05), i - 0.05))))
+    table = F.map_from_arrays(F.array(*keys).cast("array<string>"), F.array(*values).cast("array<double>"))
+    key = F.concat_ws(" ", F.col("model").cast("string"), F.col("k").cast("string"), F.least(F.lit(3), F.col("n")).cast("string"))
+    return F.coalesce(F.try_element_at(table, key), F.least(F.lit(3), F.col("n")) * F.lit(0.5))
+
+
+def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(model, gram, p) for the n-grams asked for, (model, gram), under the models of counts (model, gram, n); a model without texts is left out."""
+    table = written(levels(counts), "gram-counts")
+    d = discount(table)
+    seen = table.withColumn("d", d).withColumn("context", F.expr("substring(gram, 1, k - 1)"))
+    contexts = written(seen.groupBy("k", "model", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("held"), F.count("*").alias("kinds")), "gram-contexts")
+    wanted = {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select("model", F.substring("gram", 2, k).alias("gram")).distinct()
+    p = None
+    for k in range(1, ORDER + 1):
+        own = seen.filter(F.col("k") == k).select("model", "gram", (F.col("n") - F.col("d")).alias("share"))
+        of = contexts.filter(F.col("k") == k).select("model", "context", "all", "held", "kinds")
+        rows = wanted[k].withColumns({"context": F.substring("gram", 1, k - 1), "rest": F.substring("gram", 2, k - 1)})
+        rows = rows.join(own, ["model", "gram"], "left").join(of, ["model", "context"], "inner" if k == 1 else "left")
+        if p is None:  # the rest of the mass is spread evenly over the symbols seen and one for all others
+            below = 1 / (F.col("kinds") + 1)
+        else:
+            rows = rows.join(p.select("model", F.col("gram").alias("rest"), F.col("p").alias("below")), ["model", "rest"])
+            below = F.col("below")
+        value = F.coalesce(F.col("share") / F.col("all"), F.lit(0.0)) + F.coalesce(F.col("held") / F.col("all"), F.lit(1.0)) * below
+        p = rows.select("model", "gram", value.alias("p"))
+    out = written(p, "gram-probabilities")
+    discard(table, contexts)
+    return out
 
-_spread: dict[str, np.ndarray] = {}
 
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """A written table of every row's columns, as c0, c1, …, with the perplexity of its text; null without text or model."""
+    group_of = lambda n: F.pmod(F.hash("doc_id"), F.lit(n))
+    n = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP))
+    trusted = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id")).repartition(n, "trusted_id")
+    # Dealt by the hash that makes groups, so a task holds whole groups.
+    rows = docs.select("doc_id", "text").filter("length(text) > 0").repartition(n, "doc_id").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = written(gathered(rows.select(group_of(n).alias("group"), F.col("trusted_id").isNotNull().alias("trusted"), "text")), "group-grams")
+    model = F.pmod(F.col("group"), F.lit(2))
+    counts = grams.filter("n > 0").groupBy(model.alias("model"), "gram").agg(F.sum("n").alias("n"))
+    asked = written(grams.select((1 - model).alias("model"), "gram").distinct(), "asked-grams")
+    p = probabilities(asked, counts)
+    answers = grams.select("group", "gram", (1 - model).alias("model")).join(p, ["model", "gram"]).select("group", "gram", F.log("p").cast("float").alias("l"))
+    answers = written(answers.repartition("group"), "group-probabilities")
+    discard(grams, asked, p)
+
+    def score(some: pa.Table, table: pa.Table) -> pa.Table:
+        texts = some.column(1)
+        totals, sizes = np.zeros(len(some)), np.array(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(), np.int32)
+        known = len(table) > 0
+        if known:
+            grams, logs = table.column(1).combine_chunks(), table.column(2).to_numpy()
+            for of, parts in pieces([t or "" for t in texts.to_pylist()]):
+                found, index, lengths = distinct_grams(parts)
+                own = logs[pc.index_in(pa.array(found), value_set=grams).to_numpy(zero_copy_only=False).astype(np.int64)].astype(np.float64)
+                ends = np.cumsum(lengths)
+                np.add.at(totals, of, np.add.reduceat(own[index], ends - lengths))
+        has = (sizes > 0) & known
+        values = np.exp(-totals / np.maximum(sizes, 1))
+        return pa.table([*some.columns[2:], pa.array(values, mask=~has), pa.array(sizes)], names=[*(f"c{k}" for k in range(len(columns))), "perplexity", "symbols"])
 
-def spread(model: Model) -> np.ndarray:
-    """The table of the model at hand; a worker keeps one."""
-    if model.name not in _spread:
-        _spread.clear()
-        _spread[model.name] = model.logs()
-    return _spread[model.name]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"c{k} {kinds[c]}" for k, c in enumerate(columns)) + ", perplexity double, symbols int"
+    texts = docs.select(group_of(n).alias("group"), docs["text"].alias("text"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
+    out = written(texts.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(score, schema), "perplexities")
+    discard(answers)
+    return out
 
 
-def model(trusted: DataFrame) -> Model | None:
-    """The model of all trusted texts; None without any."""
-    counts = written(orders(counted(trusted)), "gram-counts")
-    by = discounts(counts)
-    d = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, v))) for k, v in by.items()))
-    seen = counts.filter("k > 1").withColumn("context", F.expr(f"gram div {CLASSES}").cast("int")).withColumn("d", F.element_at(d[F.col("k")], F.least(F.lit(3), F.col("n")).cast("int")))
-    contexts = seen.groupBy("k", "context").agg(F.sum("n").alias("all"), F.sum("d").alias("held"))
-    joined = written(
-        seen.join(contexts, ["k", "context"]).select("k", "gram", ((F.col("n") - F.col("d")) / F.col("all")).cast("float").alias("p"), "context", (F.col("held") / F.col("all")).cast("float").alias("back")), "gram-model"
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
+
+
+def _by_language(good: DataFrame, value: Column, shares: list[float], name: str) -> tuple[DataFrame, list[float | None]]:
+    """(of_lang, n, quantiles) of a value of trusted texts, written, as its size is then known to a join; and the quantiles over all languages."""
+    ends = F.percentile_approx(value, shares, 100_000)
+    overall = good.agg(ends.alias("q")).first()["q"] or [None] * len(shares)  # one row
+    return written(good.groupBy("of_lang").agg(F.count("*").alias(f"{name}_n"), ends.alias(name)), name), overall
+
+
+def thresholds(rows: DataFrame, labels: DataFrame, doc_id: str, lang: str) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """(rows with their language's quantiles, steadied perplexity, lower, upper, kept) of scored rows."""
+    ids = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"))
+    rows = rows.withColumn("of_lang", F.coalesce(F.col(lang), F.lit("")))
+    good = rows.filter("perplexity is not null").join(ids, F.col(doc_id) == F.col("trusted_id"), "left_semi").select("of_lang", "symbols", F.log("perplexity").alias("l"))
+    weight = lambda n: F.coalesce(n, F.lit(0)) / (F.coalesce(n, F.lit(0)) + HALFWAY)
+    # Short texts vary more: each is taken together with PRIOR symbols at its language's median.
+    medians, middle = _by_language(good, F.col("l"), [0.5], "medians")
+    typical = weight(F.col("medians_n")) * F.coalesce(F.col("medians")[0], F.lit(0.0)) + (1 - weight(F.col("medians_n"))) * F.lit(middle[0]).cast("double")
+    steady = lambda l: (F.col("symbols") * l + PRIOR * typical) / (F.col("symbols") + PRIOR)
+    quantiles, (low_all, high_all) = _by_language(good.join(medians, "of_lang").withColumn("s", steady(F.col("l"))), F.col("s"), [TAIL, 1 - TAIL], "quantiles")
+    rows = rows.join(medians, "of_lang", "left").join(quantiles, "of_lang", "left")
+    low_all, high_all = (F.lit(x).cast("double") for x in (low_all, high_all))
+    w = weight(F.col("quantiles_n"))
+    wide = MARGIN * w + FEW_MARGIN * (1 - w)
+    low, high = F.coalesce(F.col("quantiles")[0], low_all), F.coalesce(F.col("quantiles")[1], high_all)
+    lower = w * low + (1 - w) * F.least(low, low_all) - wide
+    upper = w * high + (1 - w) * F.greatest(high, high_all) + wide
+    value = steady(F.log("perplexity"))
+    return rows, F.exp(value), F.exp(lower), F.exp(upper), F.coalesce((value >= lower) & (value <= upper), F.lit(True))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, perplexity, steady (the value judged), lower, upper and kept of every document."""
+    marked = docs.select("doc_id", "lang", "text", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
+    rows, steady, lower, upper, kept = thresholds(scored(marked, labels, ["doc_id", "lang", "has_text"]), labels, "c0", "c1")
+    return rows.select(
+        F.col("c0").alias("doc_id"), F.col("c1").alias("lang"), "perplexity", steady.alias("steady"), lower.alias("lower"), upper.alias("upper"), (kept & F.col("c2")).alias("kept")
     )
-    found = counts.filter("k = 1").select("gram", "n").collect()
-    if not found:
-        return None
-    total = sum(r["n"] for r in found)
-    ones = np.full(CLASSES, 0.5 / CLASSES)  # half the mass is spread evenly, so no symbol is impossible
-    for r in found:
-        ones[r["gram"]] += 0.5 * r["n"] / total
-    levels = []
-    for k in range(2, ORDER + 1):  # at most 64^k rows each
-        rows = joined.filter(F.col("k") == k)
-        grams, of = rows.select("gram", "p").toArrow(), rows.select("context", "back").distinct().toArrow()
-        levels.append((*(grams.column(c).to_numpy() for c in ("gram", "p")), *(of.column(c).to_numpy() for c in ("context", "back"))))
-    return Model(ones, levels)
-
-
-def perplexities(docs: DataFrame, table: Model | None, columns: list[str]) -> DataFrame:
-    """The columns of docs with the perplexity of text; null without text or model."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = None if shared.value is None else spread(shared.value)
-        for part in chain.from_iterable(map(slices, batches)):
-            out = []
-            for text in part.column(0).to_pylist():
-                out.append(float(np.exp(-logs[four_grams(text)].mean(dtype=np.float64))) if text and logs is not None else None)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.float64())], [*columns, "perplexity"])
-
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col("text").alias("_text"), *columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", perplexity double")
-
-
-def judged(docs: DataFrame, labels: DataFrame, tail: float = TAIL, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, text_key, perplexity, lower, upper, word_perplexity, word_upper and kept of every document."""
-    trusted_ids = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    trusted = docs.select("doc_id", "text").join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    table = model(trusted)
-    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
-    scored = written(perplexities(keyed, table, ["doc_id", "lang", "text_key", "has_text"]), "perplexities")
-    keys = F.xxhash64("text").alias("text_key")
-    words = word_model.perplexities(docs.select(keys, "text"), trusted.select(keys, "text"))
-    by_letters, scored = scored, written(scored.join(words, "text_key", "left"), "both-perplexities")
-    discard(by_letters, words)
-    good = scored.join(trusted_ids, "doc_id", "left_semi").filter("perplexity is not null").withColumn("lang", F.coalesce("lang", F.lit("")))
-    ends = lambda rows: rows.agg(F.count("*").alias("n"), *(F.percentile_approx(c, [tail, 1 - tail], 100_000).alias(q) for c, q in (("perplexity", "q"), ("word_perplexity", "wq"))))
-    overall = ends(good.groupBy()).first()  # one row
-    all_q = F.array(*map(F.lit, overall["q"] or [None, None])).cast("array<double>")
-    all_w = F.lit(overall["wq"][1] if overall["wq"] else None).cast("double")
-    of = written(ends(good.groupBy("lang")).withColumnRenamed("lang", "of_lang"), "thresholds")  # as a table its size is known to the join
-    rows = scored.join(of, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
-    few = F.coalesce("n", F.lit(0)) < ENOUGH
-    lower = F.when(few, F.least(all_q[0], F.col("q")[0]) / FEW_MARGIN).otherwise(F.col("q")[0] / margin)
-    upper = F.when(few, F.greatest(all_q[1], F.col("q")[1]) * FEW_MARGIN).otherwise(F.col("q")[1] * margin)
-    word_upper = F.when(few, F.greatest(all_w, F.col("wq")[1]) * FEW_MARGIN).otherwise(F.col("wq")[1] * margin)
-    rows = rows.select("doc_id", "lang", "text_key", "perplexity", "has_text", lower.alias("lower"), upper.alias("upper"), "word_perplexity", word_upper.alias("word_upper"))
-    inside = F.coalesce((F.col("perplexity") >= F.col("lower")) & (F.col("perplexity") <= F.col("upper")), F.lit(False))
-    inside = inside & F.coalesce(F.col("word_perplexity") <= F.col("word_upper"), F.lit(True))  # unknown where the other half has no trusted text
-    return rows.withColumn("kept", inside | F.lit(overall["n"] == 0) & F.col("has_text")).drop("has_text")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    kept = judged(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows, *_, kept = thresholds(scored(docs, labels, docs.columns), labels, at["doc_id"], at["lang"])
+    return rows.filter(kept & (F.coalesce(F.length(at["text"]), F.lit(0)) > 0)).select(*(F.col(k).alias(c) for c, k in at.items()))
