@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import public_tokenizers
@@ -21,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hushframe.llm.common import Kept, arrow_map, id_and_text
+from hushframe.llm.common import Kept, arrow_map, id_and_text, worker_cache
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: States and agreed pairs that are kept; beyond it each table starts anew. Bytes of one match after which settled tokens are emitted.
@@ -244,7 +243,7 @@ class ByteBpe:
         yield machine.close()
 
 
-@lru_cache(maxsize=2)
+@worker_cache(2)
 def codec(path: str, pattern: str) -> ByteBpe:
     """One codec for each worker process."""
     return ByteBpe(path, pattern)

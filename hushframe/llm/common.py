@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,11 +69,37 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+_caches: list[tuple[str, Callable]] = []
+_owner = ""
+
+
+def worker_cache(most: int = 1) -> Callable[[Callable], Callable]:
+    """Keep a function's last values in a worker, until a function of another module is asked: workers outlive an operator, its tables don't."""
+
+    def of(make: Callable) -> Callable:
+        kept = lru_cache(maxsize=most)(make)
+        _caches.append((make.__module__, kept))
+
+        @wraps(make)
+        def get(*args):
+            global _owner
+            if _owner != make.__module__:
+                for module, other in _caches:
+                    if module != make.__module__:
+                        other.cache_clear()
+                _owner = make.__module__
+            return kept(*args)
+
+        return get
+
+    return of
+
+
 class Kept(dict):
     """A table of a function's values for short texts, filled on demand up to a bound. A full table stays as it is, as frequent texts came
     first, until four times as many texts were not found in it; then it starts anew."""
 
-    def __init__(self, make: Callable[[str], object], most: int = 500_000, short: int = 48):
+    def __init__(self, make: Callable[[str], object], most: int = 250_000, short: int = 48):
         super().__init__()
         self.make, self.most, self.short, self.missed = make, most, short, 0
 

@@ -2,8 +2,8 @@
 
 Texts are equal when identical after deleting white space [\\x20\\x09-\\x0D]. The normalised text is cut into fixed-size blocks; the distinct blocks are sorted
 and named by integers in that order; then adjacent pairs of names are named the same way, level by level, until each document has one
-name. Equal names are equal texts: no hash decides. A text whose length and 64-bit fingerprint no other text shares is
-alone in its class already, so it takes no part in the naming (fingerprints only prune; they never make two texts equal).
+name. Equal names are equal texts: no hash decides. Equal texts have equal lengths and fingerprints, so a text whose length and 64-bit fingerprint no other
+row shares is exactly a class of one, and takes no part in the naming; among all others the names alone decide. Rows are told apart by a number of their own.
 
 Null and empty texts are one class of empty texts. Ties: most code points, then the smallest doc_id; of rows repeated with the same doc_id and
 text one stays. A null doc_id sorts last. Texts of any length are cut in linear time. An empty table gives an empty result; extra columns are ignored or kept as they are.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import written
@@ -28,11 +28,17 @@ def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), WHITE, F.coalesce(text, F.lit("")))
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """Per row: who it is, how long, and the fingerprints of its normalised text; the text stays beside them as norm."""
-    return docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), normalised(F.col("text")).alias("norm")).select(
-        "doc_id", "n_points", "norm", F.char_length("norm").alias("n_norm"), F.xxhash64("norm").alias("print"), F.sha2("norm", 256).alias("text_sha256")
-    )
+def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """A written table of every row: a number of its own, doc_id, text, how long it is, the fingerprints of its normalised text, and the columns as c0, c1, …"""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), normalised(docs["text"]).alias("norm"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
+    return written(
+        rows.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.char_length("text").cast("long").alias("n_points"), F.char_length("norm").alias("n_norm"),
+            F.xxhash64("norm").alias("print"), F.sha2("norm", 256).alias("text_sha256"), *(f"c{k}" for k in range(len(columns))),
+        ),
+        "exact-keys",
+    )
 
 
 def _names(things: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -44,62 +50,51 @@ def _names(things: DataFrame, columns: list[str], label: str) -> DataFrame:
     return written(sorted_.select(*columns, F.monotonically_increasing_id().alias("name")), label)
 
 
-def identities(docs: DataFrame, keys: DataFrame, shared: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key_id, text_sha256, level, name) of each row whose length and fingerprint another row shares; (level, name) is its text's identity."""
-    texts = _keys(docs).join(shared.hint("shuffle_hash"), ["n_norm", "print"], "left_semi")
-    blocks = written(
-        texts.select(
-            F.col("doc_id").alias("key_id"),
-            "text_sha256",
-            F.greatest(F.lit(1), F.ceil(F.col("n_norm") / block)).cast("int").alias("n"),
-            F.posexplode(F.when(F.col("n_norm") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))).alias("i", "block"),
-        ),
-        "blocks",
+def identities(keys: DataFrame, shared: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(row, level, name) of each row whose length and fingerprint another row shares; (level, name) is its text's identity."""
+    texts = keys.select("row", "text", "n_norm", "print").join(shared.hint("shuffle_hash"), ["n_norm", "print"], "left_semi")
+    cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    blocks = texts.select("row", "n_norm", normalised(F.col("text")).alias("norm")).select(
+        "row", F.greatest(F.lit(1), F.ceil(F.col("n_norm") / block)).cast("int").alias("n"), F.posexplode(F.when(F.col("n_norm") == 0, F.array(F.lit(""))).otherwise(cut)).alias("i", "block")
     )
-    at = blocks.join(_names(blocks, ["block"], "block-names"), "block").select("key_id", "text_sha256", "n", "i", "name")
+    blocks = written(blocks, "blocks")
+    at = blocks.join(_names(blocks, ["block"], "block-names"), "block").select("row", "n", "i", "name")
     done, level = [], 0
     longest = keys.agg(F.max("n_norm")).first()[0] or 0
     while True:
         at = written(at, f"level-{level}")
-        done.append(at.filter("n = 1").select("key_id", "text_sha256", F.lit(level).alias("level"), "name").distinct())
+        done.append(at.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
         if longest <= block << level:
             return reduce(DataFrame.unionByName, done)
-        pairs = (
-            at.filter("n > 1")
-            .groupBy("key_id", "text_sha256", "n", F.expr("i div 2").cast("int").alias("j"))
-            .agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
-        )
+        halves = at.filter("n > 1").groupBy("row", "n", F.expr("i div 2").cast("int").alias("j"))
+        pairs = halves.agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         named = _names(pairs, ["a", "b"], f"pair-names-{level}")
-        at = pairs.join(named, ["a", "b"]).select("key_id", "text_sha256", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("j").alias("i"), "name")
+        at = pairs.join(named, ["a", "b"]).select("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("j").alias("i"), "name")
         level += 1
 
 
+def judged(keys: DataFrame, block: int = BLOCK) -> DataFrame:
+    """row, doc_id, keep_id, group_size, kept, text_sha256 and n_points of every row of a keyed table."""
+    # Plain tables on both sides of a join, so that the partition of a hot key can be split.
+    shared = written(keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print"), "shared-prints")
+    rows = keys.select("row", "doc_id", "n_points", "n_norm", "print", "text_sha256")
+    marked = rows.join(shared.withColumn("alike", F.lit(True)), ["n_norm", "print"], "left")
+    columns = ["row", "doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_points"]
+    alone = marked.filter("alike is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*columns)
+    alike = written(marked.filter("alike").join(identities(keys, shared, block), "row").select("row", "doc_id", "n_points", "text_sha256", "level", "name"), "alike")
+    best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("best")
+    classes = written(alike.groupBy("level", "name").agg(F.count("*").alias("group_size"), best), "exact-classes")
+    found = alike.join(classes, ["level", "name"]).withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("row") == F.col("best.row")})
+    return alone.unionByName(found.select(*columns))
+
+
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
-    keys = written(_keys(docs).drop("norm"), "exact-keys")
-    # A plain table, so that the partition of a hot key can be split.
-    shared = written(keys.groupBy("n_norm", "print").count().filter("count > 1").select("n_norm", "print"), "shared-prints")
-    marked = keys.join(shared.withColumn("alike", F.lit(True)), ["n_norm", "print"], "left")
-    alone = marked.filter("alike is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
-    names = identities(docs, keys, shared, block)
-    alike = marked.filter("alike").alias("d").join(names.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.key_id")) & (F.col("d.text_sha256") == F.col("n.text_sha256")))
-    alike = alike.select("d.doc_id", "d.text_sha256", "n_points", "level", "name")
-    best = alike.groupBy("level", "name").agg(
-        F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("keep_id"))).alias("best")
-    )
-    stays = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("n_points") == -F.col("best.p"))
-    found = alike.join(best, ["level", "name"]).withColumn("stays", stays)
-    # Rows that repeat the one that stays differ in nothing; the first of them stays.
-    nth = F.row_number().over(Window.partitionBy("stays_id", "level", "name").orderBy("n_points"))
-    of = found.filter("stays").withColumn("stays_id", F.col("doc_id")).withColumn("kept", nth == 1)
-    columns = ["doc_id", "best.keep_id", "group_size", "kept", "text_sha256", "n_points"]
-    return alone.unionByName(of.select(*columns)).unionByName(found.filter(~F.col("stays")).withColumn("kept", F.lit(False)).select(*columns))
+    return judged(keyed(docs, []), block).drop("row")
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, block).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points"))
-    rows = docs.withColumns({"_sha_": F.sha2(normalised(F.col("text")), 256), "_points_": F.char_length(F.coalesce("text", F.lit(""))).cast("long")})
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_sha_").orderBy("_points_"))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_") == F.col("_sha")) & (F.col("_points_") == F.col("_points")))
-    return joined.withColumn("_nth_", nth).filter("_nth_ = 1").select(*[joined[c] for c in docs.columns])
+    keys = keyed(docs, docs.columns)
+    kept = judged(keys, block).filter("kept").select("row")
+    return keys.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

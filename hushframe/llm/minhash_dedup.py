@@ -16,16 +16,15 @@ even with each other. Equal texts are one node. Null doc_ids and repeated rows a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import Kept, slices, written
+from hushframe.llm.common import Kept, slices, worker_cache, written
 from hushframe.llm.components import components
 from hushframe.llm.embedding_dedup import runs
 
@@ -34,6 +33,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Members that a first one is compared with in one task; members of a block in the second round.
 STAR, BLOCK = 256, 512
+#: Bytes of a block's texts, about.
+BLOCK_BYTES = 4 << 20
 #: Shingles whose points are drawn together.
 TOGETHER = 200_000
 
@@ -48,9 +49,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@worker_cache()
 def _words() -> Kept:
-    return Kept(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), most=800_000)
+    return Kept(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), most=250_000)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +106,13 @@ def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], th
     return both * under >= over * (na + nb - both) and both > 0
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text, which stands for it."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands): the key of the text's bytes and the band hashes of its signature; no bands without a word."""
+    """(doc_id, key, bands, size): the digest of the text, the band hashes of its signature and its bytes; no bands without a word."""
 
     def some(bags: list) -> list:
         table = signatures(bags).reshape(len(bags), BANDS, ROWS).astype(np.uint64)
@@ -125,10 +131,10 @@ def signed(docs: DataFrame) -> DataFrame:
                     bands += some(bags)
                     bags, n = [], 0
             bands += some(bags) if bags else []
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bands, pa.list_(pa.int64())), part.column(3)], ["doc_id", "key", "bands", "size"])
 
-    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, key string, bands array<long>")
+    texts = docs.select("doc_id", digest(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    return texts.mapInArrow(run, "doc_id long, key binary, bands array<long>, size int")
 
 
 def _star(tasks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,12 +222,12 @@ def _across(tasks: DataFrame, texts: DataFrame) -> DataFrame:
 def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node) of each row and (node, component) of each node that isn't its component's least."""
     rows = written(signed(docs), "signatures")
-    nodes = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    spread = nodes.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = written(spread.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("n > 1"), "buckets")
-    members = written(spread.join(buckets, ["band", "h"]).select("node", "n", "head", "who"), "members")
+    nodes = written(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spread = nodes.filter("bands is not null").select("node", "size", F.posexplode("bands").alias("band", "h"))
+    buckets = written(spread.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.sum("size").alias("bytes")).filter("n > 1"), "buckets")
+    members = written(spread.join(buckets, ["band", "h"]).select("node", "n", "head", "who", "bytes"), "members")
     wanted = nodes.select(F.col("key").alias("of"), "rep", "node").join(members.select("node").distinct(), "node", "left_semi")
-    texts = docs.select("doc_id", "text").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    texts = docs.select("doc_id", "text").withColumn("key", digest(F.col("text")))
     texts = written(texts.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "candidate-texts")
     # Every node is tried against the least of its buckets' heads; then, if that didn't settle it, against the other heads outside its component.
     pairs = written(members.filter("node <> head").select("head", "node").distinct(), "head-pairs")
@@ -235,11 +241,11 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = written(links.unionByName(_star(apart, texts)), "star-links")
     first = components(links)
     # Buckets of the same members are one task; those within one component, or of two members, are settled.
-    named = members.filter("n > 2").select(F.col("who").alias("task"), "n", "node").distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = members.filter("n > 2").select(F.col("who").alias("task"), "n", "bytes", "node").distinct().join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named-members")
     open_ = named.groupBy("task").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("task")
     open_ = written(open_, "open-tasks")
-    tasks = named.join(open_, "task").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tasks = named.join(open_, "task").withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = tasks.select("task", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select(F.xxhash64("task").alias("task"), "node", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     more = written(_across(tasks, texts), "cross-links")
@@ -250,21 +256,23 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near-duplicates, itself included), class_size and kept (the first row of its class) of every document."""
     rows, groups = nodes_and_groups(docs)
-    alone = F.col("key") == F.md5(F.lit(""))
-    of = written(rows.join(groups, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"), F.when(alone, F.monotonically_increasing_id()).otherwise(-1).alias("own")), "classes")
-    sizes = of.groupBy("component", "own").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    named = of.join(sizes, ["component", "own"]).withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    first = F.row_number().over(Window.partitionBy("component", "own", "doc_id").orderBy("key")) == 1
-    could = named.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumn("kept", first)
-    columns = ["doc_id", "class_id", "class_size", "kept", "key"]
-    return could.select(*columns).unionByName(named.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumn("kept", F.lit(False)).select(*columns))
+    alone = F.col("key") == digest(F.lit(""))
+    own = F.when(alone, F.monotonically_increasing_id()).otherwise(-1).alias("own")
+    # Both sides of the last join are plain tables, so that the partition of a large class can be split.
+    of = rows.join(groups, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"), own, F.monotonically_increasing_id().alias("row"))
+    of = written(of, "classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key", "row")).alias("best")
+    sizes = written(of.groupBy("component", "own").agg(F.count("*").alias("class_size"), best), "class-sizes")
+    named = of.join(sizes, ["component", "own"])
+    return named.select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "key")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").groupBy("doc_id", "key").agg(F.count("*").alias("_stay"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_stay")
-    rows = docs.withColumn("_key_", F.md5(F.coalesce("text", F.lit(""))))
-    joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
-    return joined.withColumn("_nth_", nth).filter("_nth_ <= _stay").select(*[joined[c] for c in docs.columns])
+    kept = near_duplicates(docs).filter("kept").groupBy("doc_id", "key").agg(F.count("*").alias("stay"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), "stay")
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(docs[c].alias(k) for c, k in at.items()))
+    rows = rows.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("kept_id")) & (digest(F.col(at["text"])) == F.col("kept_key")))
+    nth = F.row_number().over(Window.partitionBy("kept_id", "kept_key").orderBy(F.lit(0)))  # only rows alike in doc_id and text share a number's range
+    return rows.withColumn("nth", nth).filter("nth <= stay").select(*(F.col(k).alias(c) for c, k in at.items()))

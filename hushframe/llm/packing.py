@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hushframe.llm.common import Kept, arrow_map, id_and_text, written
+from hushframe.llm.common import Kept, arrow_map, id_and_text, worker_cache, written
 
 MODEL = "word_bpe_49k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -56,7 +55,7 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
+@worker_cache(2)
 def word_ids(path: str) -> WordIds:
     """One for each worker process."""
     return WordIds(path)

@@ -1,7 +1,7 @@
 """Operator 6: a quality classifier by an interpolated modified Kneser-Ney model of character n-grams, counted and joined by shards.
 
-Symbols are the code points themselves, order 5, so every table grows with what the corpus holds. Documents are dealt into groups by a hash of doc_id; a
-group's distinct 5-grams, with their counts in its trusted texts, are gathered in its task before anything is shuffled. Counts are summed by
+Symbols are the code points themselves, order 4, so every table grows with what the corpus holds. Documents are dealt into groups by a hash of doc_id; a
+group's distinct n-grams, with their counts in its trusted texts, are gathered in its task before anything is shuffled. Counts are summed by
 shards of the n-gram; lower orders count distinct continuations; discounts come from counts of counts. Each group's distinct n-grams are
 joined to the shards' probabilities and come back to the group, where they give each document's perplexity over its whole text. No table is gathered on the
 driver or broadcast by this module.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import discard, slices, written
 
-ORDER = 5
+ORDER = 4
 #: Bytes of text in a group, about; characters handled together; rows of n-grams held before they are merged.
 GROUP, PIECE, MERGE = 8 << 20, 1 << 20, 1 << 20
 #: Share of trusted texts beyond each threshold; widening in log perplexity with many trusted texts, and with none; the number at which both weights are a half.
@@ -175,7 +175,8 @@ def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """A written table of every row's columns, as c0, c1, …, with the perplexity of its text; null without text or model."""
     group_of = lambda n: F.pmod(F.hash("doc_id"), F.lit(n))
-    n = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(2, parts, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP))
     trusted = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id")).repartition(n, "trusted_id")
     # Dealt by the hash that makes groups, so a task holds whole groups.
     rows = docs.select("doc_id", "text").filter("length(text) > 0").repartition(n, "doc_id").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left")

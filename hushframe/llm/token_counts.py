@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from hushframe.llm.common import Kept, arrow_map, id_and_text
+from hushframe.llm.common import Kept, arrow_map, id_and_text, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -121,7 +120,7 @@ class PieceCounter:
         return sum(map(self.merged, self.cut(SPACE + text.replace(" ", SPACE))))
 
 
-@lru_cache(maxsize=2)
+@worker_cache(2)
 def counter(path: str) -> PieceCounter:
     """One counter for each worker process."""
     return PieceCounter(path)

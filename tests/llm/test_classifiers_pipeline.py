@@ -65,27 +65,31 @@ def test_toxicity_with_few_labels_is_their_share(spark):
     assert len(scored) == 11 and all(abs(r.score - 0.3) < 1e-9 and r.predicted == 0 for r in scored)
 
 
-def brute_kneser_ney(texts, order=4):
+def grams_of(text, order=quality.ORDER):
+    padded = quality.START * (order - 1) + text.replace("\0", "\ufffd")
+    return [padded[i : i + order] for i in range(len(text))]
+
+
+def brute_kneser_ney(texts, order=quality.ORDER):
     """The definition, with dictionaries."""
-    counts = {order: Counter(g for t in texts for g in map(tuple, np.lib.stride_tricks.sliding_window_view(quality.symbols(t), order).tolist()))}
+    counts = {order: Counter(g for t in texts for g in grams_of(t))}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    total = sum(counts[1].values())
     discount = {}
-    for k in range(2, order + 1):
+    for k in range(1, order + 1):
         n = Counter(counts[k].values())
         y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
         discount[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] and n[i + 1] else i * 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
     by = {k: {} for k in counts}
-    for k in range(2, order + 1):
+    for k in range(1, order + 1):
         for g, c in counts[k].items():
             s = by[k].setdefault(g[:-1], [0, 0.0])
             s[0] += c
             s[1] += discount[k][min(c, 3) - 1]
 
     def p(g):
-        if len(g) == 1:
-            return 0.5 / quality.CLASSES + 0.5 * counts[1][g] / total
+        if not g:
+            return 1 / (len(counts[1]) + 1)
         s = by[len(g)].get(g[:-1])
         if s is None:
             return p(g[1:])
@@ -95,15 +99,60 @@ def brute_kneser_ney(texts, order=4):
     return p
 
 
-def test_perplexity_against_the_definition(spark):
-    texts = [t for _, t, *_ in rows() if t][:30]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = quality.model(frame)
-    logs, p = model.logs(), brute_kneser_ney(texts)
-    for gram in [1, 64**2 + 5, *map(int, np.random.default_rng(0).integers(0, 64**4, 300)), *quality.four_grams(texts[3])[:200].tolist()]:
-        symbols = tuple(gram // 64**k % 64 for k in (3, 2, 1, 0))
-        assert abs(logs[gram] - np.log(p(symbols))) < 1e-3
-    assert np.allclose(np.exp(logs.reshape(-1, 64).astype(float)).sum(1), 1, atol=1e-3)
+def quantile(values, share):
+    return sorted(values)[max(0, int(np.ceil(share * len(values))) - 1)] if values else None
+
+
+def brute_quality(data, trusted, half):
+    """{doc_id: (perplexity, kept)} of (doc_id, text, lang), by the definition."""
+    models = {h: brute_kneser_ney(own) for h in (0, 1) if (own := [t for i, t, _ in data if t and i in trusted and half[i] == h])}
+    logs = {i: np.mean([np.log(models[1 - half[i]](g)) for g in grams_of(t)]) for i, t, _ in data if t and 1 - half[i] in models}
+    size, lang = {i: len(t or "") for i, t, _ in data}, {i: l or "" for i, _, l in data}
+    good = [i for i in logs if i in trusted]
+    of = lambda l: [i for i in good if lang[i] == l]
+    weight = lambda l: len(of(l)) / (len(of(l)) + quality.HALFWAY)
+    middle = quantile([-logs[i] for i in good], 0.5)
+
+    def steady(i):
+        own = [-logs[k] for k in of(lang[i])]
+        w = weight(lang[i])
+        typical = w * (quantile(own, 0.5) if own else 0) + (1 - w) * middle
+        return (size[i] * -logs[i] + quality.PRIOR * typical) / (size[i] + quality.PRIOR)
+
+    all_ = [steady(i) for i in good]
+    out = {}
+    for i, t, _ in data:
+        if i not in logs:
+            out[i] = (None, bool(t))
+            continue
+        own, w = [steady(k) for k in of(lang[i])] or all_, weight(lang[i])
+        wide = quality.MARGIN * w + quality.FEW_MARGIN * (1 - w)
+        lower = w * min(own) + (1 - w) * min(min(own), min(all_)) - wide
+        upper = w * max(own) + (1 - w) * max(max(own), max(all_)) + wide
+        out[i] = (float(np.exp(-logs[i])), bool(lower <= steady(i) <= upper))
+    return out
+
+
+def test_quality_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 700)  # long texts go through in parts
+    pick = random.Random(77)
+    texts, labels = sentences(60, 21)
+    data = [(i, t, ["en", "de", None][i % 3]) for i, t, *_ in texts] + [r[:3] for r in rows() if r[0] is not None and r[0] not in (105, 106)]
+    data = [(n, t, l) for n, (_, t, l) in enumerate(data)] + [(900 + k, "".join(pick.choice("#$%XQZ ъ ") for _ in range(pick.randrange(1, 300))), "fr") for k in range(25)] + [(950, "a", "xx"), (951, "Was " * 300, "en")]
+    frame = spark.createDataFrame([(i, t, l, 0) for i, t, l in data], "doc_id long, text string, lang string, c0 int")
+    trusted = set(range(0, 80, 2))
+    marks = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(80)] + [(2, 1, 0), (3, 1, 0), (None, 1, 0)], LABELS)
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    half = {r.doc_id: r.h for r in frame.selectExpr("doc_id", f"pmod(hash(doc_id), {groups}) % 2 AS h").collect()}
+    got = {r.doc_id: r for r in quality.judged(frame, marks).collect()}
+    want = brute_quality(data, trusted, half)
+    assert len(got) == len(data)
+    for i, (perplexity, kept) in want.items():
+        assert (got[i].perplexity is None) == (perplexity is None) and got[i].kept == kept, (i, got[i], kept)
+        assert perplexity is None or abs(got[i].perplexity / perplexity - 1) < 1e-4, (i, got[i], perplexity)
+    assert {kept for _, kept in want.values()} == {True, False}
+    stay = quality.good_documents(frame, marks)
+    assert stay.columns == frame.columns and {r.doc_id for r in stay.collect()} == {i for i, (_, kept) in want.items() if kept}
 
 
 def test_quality_keeps_clean_texts_and_rejects_junk(spark):

@@ -68,7 +68,7 @@ def test_substrings_against_brute_force(spark, monkeypatch, length, chunk):
     data = passages()
     monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
     for doc_id, text in data:  # the ranges of a text hold each of its strings once, however it is cut in chunks
-        m, near, far, _, _ = substring_dedup.ranges((text or "").encode(), length)
+        m, near, far, _, _ = substring_dedup.ranges(substring_dedup.Bytes(text or ""), length)
         starts = sorted(p - k for p, a, b in zip(m, near, far) for k in range(a, b + 1))
         assert starts == list(range(max(0, len((text or "").encode()) - length + 1)))
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in data], "doc_id long, text string, spans string, n_chars long")
@@ -76,6 +76,54 @@ def test_substrings_against_brute_force(spark, monkeypatch, length, chunk):
     assert got == brute_substrings(data, length)
 
 
+def brute_passages(data, length):
+    """Texts without the words covered by a run of so many words that another document holds too."""
+    holders = defaultdict(set)
+    for doc in set(data):
+        words = (doc[1] or "").split()
+        for i in range(len(words) - length + 1):
+            holders[tuple(words[i : i + length])].add(doc)
+    out = []
+    for doc_id, text in data:
+        words, cover = (text or "").split(), set()
+        for i in range(len(words) - length + 1):
+            if len(holders[tuple(words[i : i + length])]) > 1:
+                cover.update(range(i, i + length))
+        out.append((doc_id, [w for i, w in enumerate(words) if i not in cover]))
+    return Counter((i, tuple(w)) for i, w in out)
+
+
+def test_passages_against_brute_force(spark):
+    pick = random.Random(12)
+    vocabulary = [pick.choice("abcdefghij中é") * pick.randrange(1, 4) + str(pick.randrange(40)) for _ in range(300)]
+    make = lambda n: [pick.choice(vocabulary) for _ in range(n)]
+    shared, own = make(70), make(60)
+    data = [(k, make(pick.randrange(0, 90)) + shared[: pick.randrange(45, 71)] + make(pick.randrange(0, 60))) for k in range(20)]
+    data += [(50, own + make(5) + own), (51, own + make(9) + own + own[:20]), (52, shared[:49]), (53, shared[:50]), (54, shared[3:]), (55, make(300)), (56, ["w"] * 200), (57, make(40) + shared[10:65] + make(20) + own[:49])]
+    data = [(i, " ".join(w[:7]) + " \n" + "  ".join(w[7:])) for i, w in data] + [(58, None), (59, ""), (60, " \t\n"), (None, " ".join(shared))]
+    data.append(data[3])  # a repeated row is the same document
+    data.append((70, "only " + " ".join(own[:50])))
+    docs = spark.createDataFrame([(i, t, "x", 3, 1) for i, t in data], "doc_id long, text string, spans string, n_chars long, c0 int")
+    out = substring_dedup.keep_unrepeated(docs, 50, substring_dedup.Words, across=True)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r.doc_id, tuple(r.text.split())) for r in got) == brute_passages(data, 50)
+    assert {(r.spans, r.c0) for r in got} == {("x", 1)} and all(r.n_chars == len(r.text) for r in got)
+    untouched = {i: t for i, t in data if i in (52, 55, 56, 60)}
+    assert all(r.text == untouched[r.doc_id] for r in got if r.doc_id in untouched)
+
+
+def test_repeated_400_byte_strings_against_brute_force(spark):
+    pick = random.Random(31)
+    make = lambda n: "".join(pick.choice("abcdefgh é中 \n") for _ in range(n))
+    shared = make(900)
+    data = [(i, make(pick.randrange(0, 500)) + shared[pick.randrange(300) : 900 - pick.randrange(300)] + make(pick.randrange(0, 300))) for i in range(14)]
+    cut = next(n for n in range(len(shared)) if len(shared[:n].encode()) >= 400)
+    data += [(20, shared), (21, shared[:cut]), (22, shared[1:cut]), (23, "ab" * 900), (24, "\x00" * 1000), (25, "z" + shared[:450] + "!" + shared[451:]), (26, "thue" * 99), (27, data[2][1]), (27, data[2][1])]
+    docs = spark.createDataFrame([(i, t) for i, t in data], "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.digests(docs).collect()) == brute_substrings(data, 400)
+
+
 def test_substring_stage_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = substring_dedup.keep_unrepeated(docs, 64)

@@ -33,10 +33,10 @@ def test_exact_against_brute_force(spark):
 
 def test_naming_alone_decides(spark, monkeypatch):
     """With fingerprints that say nothing, the names still tell every text from every other."""
-    real = exact_dedup._keys
+    real = exact_dedup.keyed
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(exact_dedup, "_keys", lambda docs: real(docs).withColumn("print", F.lit(0).cast("long")).withColumn("n_norm", F.col("n_norm") * 0 + F.length("norm")))
+    monkeypatch.setattr(exact_dedup, "keyed", lambda docs, columns: real(docs, columns).withColumn("print", F.lit(0).cast("long")))
     data = [(i, "ab" * 10 + chr(97 + i % 3) + "ba" * 9, None, None, None, None) for i in range(12)]
     got = exact_dedup.exact_dedup(documents(spark, data), 4).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == brute_exact(data)
