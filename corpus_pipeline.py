@@ -31,9 +31,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated 400-byte strings."""
+    """All documents, without the passages of 50 words and more that other documents hold too; each copy of a passage goes."""
     importable(spark)
-    return substring_dedup.keep_unrepeated(docs)
+    return substring_dedup.keep_unrepeated(docs, substring_dedup.PASSAGE, substring_dedup.Words, across=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
