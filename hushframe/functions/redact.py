@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import PLACEHOLDERS
+from hushframe.functions.scan import crossing, once
 
 _MERGED = "array<struct<start:int,end:int,kind:string>>"
 
@@ -24,26 +25,29 @@ def merge_spans(spans: Column) -> Column:
     good = F.filter(spans, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & (s["end"] > s["start"]))
     ordered = F.array_sort(F.transform(good, lambda s: F.struct(s["start"].cast("int").alias("start"), (-s["end"]).cast("int").alias("back"), s["kind"].alias("kind"))))
     none = F.array().cast(_MERGED)
+    plain = lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))
 
     def step(out: Column, s: Column) -> Column:
-        last, end = F.try_element_at(out, F.lit(-1)), -s["back"]
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind"))
-        new = F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
-        return F.when(F.coalesce(s["start"] < last["end"], F.lit(False)), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(new)))
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(F.coalesce(s["start"] < last["end"], F.lit(False)), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(s)))
 
-    return F.aggregate(ordered, none, step)
+    # The fold copies what it has at each step; it is only for texts whose spans overlap.
+    return once(F.transform(ordered, plain), lambda all_: F.when(crossing(all_), F.aggregate(all_, none, step)).otherwise(all_.cast(_MERGED)))
 
 
 def redact_text(text: Column, spans: Column) -> Column:
     """Every merged span replaced by its placeholder; all other characters stay as they are."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"), F.concat(acc["out"], kept, placeholder_for(s["kind"])).alias("out"))
+    def joined(b: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            end = F.when(i > 0, b["merged"][i - 1]["end"]).otherwise(F.lit(0))
+            return F.concat(F.substring(b["text"], end + 1, s["start"] - end), placeholder_for(s["kind"]))
 
-    done = F.aggregate(merge_spans(spans), start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["pos"] + 1, F.length(text)))).otherwise(text)
+        done = F.coalesce(F.try_element_at(b["merged"], F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(b["merged"], piece), ""), F.substring(b["text"], done + 1, F.length(b["text"])))
+
+    return F.when(F.size(spans) > 0, once(F.struct(merge_spans(spans).alias("merged"), text.alias("text")), joined)).otherwise(text)
 
 
 def merge_channels(pattern: Column, other: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,48 +13,79 @@ from hushframe.functions.checksum import luhn_ok, verhoeff_ok
 from hushframe.functions.patterns import AUDIT_RULES, RULES, Rule, jvm
 
 SPAN = "array<struct<kind:string,severity:int,start:int,end:int,length:int,source:string,raw:string,rule:int>>"
-_HIT = "array<struct<start:int,raw:string>>"
-#: Characters before a match that a context is looked for in.
-BEFORE = 48
+_HIT = "array<struct<start:int,raw:string,before:string,after:string>>"
+#: Characters before a match that a context is looked for in; the matches that hold so many at least.
+BEFORE, LOOK = 48, 12
+#: Matches whose lengths are summed in one go.
+RUN = 64
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost matches as structs of start (code points) and raw, in one linear fold over the text's gaps and matches."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value evaluated a single time, however often a lambda inside refers to it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def last_part(text: Column, n: int) -> Column:
+    """The last n characters; F.right evaluates its text twice."""
+    return F.substring(text, -n, 2**31 - 1)
+
+
+def sums_before(lengths: Column, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """then(before), where before(i) is the sum of the first i lengths: by runs, as a fold that appends to an array is slow."""
+    total = lambda some: F.aggregate(some, F.lit(0), lambda t, x: t + x)
+
+    def by_runs(n: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / RUN).cast("int")), lambda k: total(F.slice(n, k * RUN + 1, F.lit(RUN))))
+        return once(runs, lambda r: once(F.transform(r, lambda _, k: total(F.slice(r, F.lit(1), k))), lambda starts: then(lambda i: starts[F.floor(i / RUN).cast("int")] + total(F.slice(n, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)))))
+
+    return once(lengths, by_runs)
+
+
+def matches(text: Column, pattern: str, context: bool = True) -> Column:
+    """All leftmost matches as structs of start (code points), raw, and, if asked for, the text just before and after, from the text's gaps and matches.
+    Each is evaluated once, and no match goes back to the text or to all matches before it."""
     none = F.array().cast(_HIT)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.length(F.element_at(gaps, i))
-        raw = F.element_at(found, i)
-        hit = F.struct(start.cast("int").alias("start"), raw.alias("raw"))
-        return F.struct((start + F.length(raw)).cast("int").alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def of(b: Column) -> Column:
+        def around(i: Column) -> tuple[Column, Column]:
+            if not context:
+                return F.lit(""), F.lit("")
+            parts = F.transform(F.sequence(F.greatest(i - LOOK, F.lit(0)), i), lambda j: F.concat(b["gaps"][j], F.when(j < i, b["found"][j]).otherwise("")))
+            after = F.concat(b["gaps"][i + 1], F.coalesce(F.get(b["found"], i + 1), F.lit("")))
+            return last_part(F.array_join(parts, ""), BEFORE), F.substring(after, 1, 1)
+
+        def hits_of(before: Callable[[Column], Column]) -> Column:
+            def hit(raw: Column, i: Column) -> Column:
+                near, after = around(i)
+                return F.struct((before(i) + F.length(b["gaps"][i])).cast("int").alias("start"), raw.alias("raw"), near.alias("before"), after.alias("after"))
+
+            return F.transform(b["found"], hit)
 
-    fold = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), fold).otherwise(none)
+        return sums_before(F.transform(b["found"], lambda raw, i: F.length(b["gaps"][i]) + F.length(raw)), hits_of)
 
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), once(both, of)).otherwise(none)
 
-def _passes(rule: Rule, text: Column, hit: Column) -> Column:
-    start, raw = hit["start"], hit["raw"]
-    before = F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
+
+def _passes(rule: Rule, hit: Column) -> Column:
+    raw, before = hit["raw"], hit["before"]
     digits = F.regexp_replace(raw, jvm(r"[\s-]"), "")
     if rule.verify == "verhoeff":
         return verhoeff_ok(digits)
     if rule.verify == "luhn":
         return luhn_ok(digits)
     if rule.verify == "aadhaar":
-        near = F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40)))
-        return verhoeff_ok(digits) & (~raw.rlike(jvm(r"[\s-]")) | near.rlike(jvm(P.AADHAAR_CONTEXT)))
+        return verhoeff_ok(digits) & (~raw.rlike(jvm(r"[\s-]")) | last_part(before, 40).rlike(jvm(P.AADHAAR_CONTEXT)))
     if rule.verify == "phone":
-        after = F.substring(text, start + F.length(raw) + 1, F.lit(1))
-        return ~before.rlike(r"[0-9]\z") & ~after.rlike("[0-9]") & ~before.rlike(jvm(P.ID_CONTEXT))
+        return ~before.rlike(r"[0-9]\z") & ~hit["after"].rlike("[0-9]") & ~before.rlike(jvm(P.ID_CONTEXT))
     return before.rlike(jvm({"birth": P.DOB_CONTEXT, "labelled": P.ID_CONTEXT}[rule.verify]))
 
 
 def hits(text: Column, rule: Rule, order: int, unicode: bool = False) -> Column:
     """Verified spans of one rule. A match that fails its test is used up all the same."""
-    found = matches(text, jvm(rule.pattern, unicode))
+    found = matches(text, jvm(rule.pattern, unicode), rule.verify in ("aadhaar", "phone", "birth", "labelled"))
     if rule.verify:
-        found = F.filter(found, lambda hit: _passes(rule, text, hit))
+        found = F.filter(found, lambda hit: _passes(rule, hit))
     return F.transform(
         found,
         lambda h: F.struct(
@@ -78,13 +110,20 @@ def candidates(text: Column, rules: tuple[Rule, ...] = RULES, unicode: bool = Fa
 def resolve(spans: Column) -> Column:
     """Greedy: by start, then severity, then length, then rule; a span stays if it starts at or after the end of the last one kept."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["severity"]).alias("b"), (-s["length"]).alias("c"), s["rule"].alias("d"), s.alias("s"))))
-    none = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = x["s"]
-        return F.when(s["start"] >= acc["end"], F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
+    def choose(all_: Column) -> Column:
+        # Where spans overlap, a fold marks those that stay.
+        step = lambda acc, x: F.when(x["s"]["start"] >= acc["end"], F.struct(x["s"]["end"].alias("end"), F.concat(acc["stay"], F.lit("1")).alias("stay"))).otherwise(F.struct(acc["end"].alias("end"), F.concat(acc["stay"], F.lit("0")).alias("stay")))
+        marks = F.aggregate(all_, F.struct(F.lit(0).alias("end"), F.lit("").alias("stay")), step, lambda acc: acc["stay"])
+        chosen = once(marks, lambda m: F.filter(all_, lambda x, i: F.substring(m, i + 1, F.lit(1)) == "1"))
+        return F.transform(F.when(crossing(F.transform(all_, lambda x: x["s"])), chosen).otherwise(all_), lambda x: x["s"])
+
+    return once(ordered, choose)
+
 
-    return F.aggregate(ordered, none, step, lambda acc: acc["out"])
+def crossing(spans: Column) -> Column:
+    """Whether any span, in order, starts before the end of the one before it."""
+    return once(spans, lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["end"], F.lit(False))))
 
 
 def scan_text(text: Column) -> Column:

@@ -162,8 +162,8 @@ _AUDIT_UNION = " UNION ".join(f"SELECT id, kind FROM ({sql_hits('probes', 'id',
 @query(f"WITH {PROBES_SQL} SELECT id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM ({_AUDIT_UNION}) GROUP BY id")
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(planner.ELEMENTS)
-    rows = probes(spark, sf_dir).select("id", F.array_join(planner.leak_audit(F.col("text"), F.lit(None).cast("string"), none), ",").alias("kinds"))
-    return rows.filter("kinds <> ''")
+    kinds = F.array_join(planner.leak_audit(F.col("text"), F.lit(None).cast("string"), none), ",")
+    return probes(spark, sf_dir).select("id", F.explode(F.filter(F.array(kinds), lambda k: k != "")).alias("kinds"))  # a filter on top would audit twice
 
 
 @query()
