@@ -138,10 +138,9 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _star(tasks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between the heads and members of tasks (head, node) that are alike."""
-    sized = tasks.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    members = tasks.join(sized, "head").select("head", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
-    heads = sized.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("node"))
+    """Links (u, v) between the heads and members of tasks (head, node, n) that are alike; n is about how many members the head has."""
+    members = tasks.select("head", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / STAR)).cast("int").alias("part"), "node")
+    heads = members.select("head", "part").distinct().withColumn("node", F.col("head"))
     rows = members.unionByName(heads).join(texts, "node").withColumn("second", F.col("node") != F.col("head"))
     rows = rows.repartition("head", "part").sortWithinPartitions("head", "part", "second").select("head", "part", "node", "text")
 
@@ -230,14 +229,14 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", "text").withColumn("key", digest(F.col("text")))
     texts = written(texts.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "candidate-texts")
     # Every node is tried against the least of its buckets' heads; then, if that didn't settle it, against the other heads outside its component.
-    pairs = written(members.filter("node <> head").select("head", "node").distinct(), "head-pairs")
-    links = written(_star(pairs.groupBy("node").agg(F.min("head").alias("head")), texts), "first-links")
+    pairs = written(members.filter("node <> head").groupBy("head", "node").agg(F.max("n").alias("n")), "head-pairs")
+    links = written(_star(pairs.groupBy("node").agg(F.min(F.struct("head", "n")).alias("first")).select("node", "first.*"), texts), "first-links")
     so_far = components(links)
     of = lambda name: so_far.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
     apart = pairs.join(of("node"), "node", "left").join(of("head"), "head", "left")
     apart = apart.filter(F.coalesce("node_in", "node") != F.coalesce("head_in", "head"))
     least = pairs.groupBy("node").agg(F.min("head").alias("tried"))
-    apart = apart.join(least, "node").filter("head <> tried").select("head", "node")
+    apart = apart.join(least, "node").filter("head <> tried").select("head", "node", "n")
     links = written(links.unionByName(_star(apart, texts)), "star-links")
     first = components(links)
     # Buckets of the same members are one task; those within one component, or of two members, are settled.

@@ -240,11 +240,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = Bytes, across: b
     discard(every, shared, open_)
     key = F.struct("doc_id", "print", "m")
     wholes = parts.filter("whole is not null").groupBy("gram", "block", "whole").agg(apart.alias("more"), F.min("low").alias("least"), F.max("high").alias("most"), F.min(key).alias("one"))
-    wholes = parts.join(wholes, ["gram", "block", "whole"])
-    spans = spans.unionByName(wholes.filter("more and not settled").select("doc_id", "print", first, last, none))
+    wholes = written(wholes, "whole-blocks")
+    whole_rows = parts.join(wholes, ["gram", "block", "whole"])
+    spans = spans.unionByName(whole_rows.filter("more and not settled").select("doc_id", "print", first, last, none))
 
     # Of equal blocks that are repeated one is enough for the others' sake.
-    one = wholes.filter(~F.col("more") | (key == F.col("one"))).select(*parts.columns, (F.col("settled") | F.col("more")).alias("done"), "least", "most")
+    one = whole_rows.filter(~F.col("more") | (key == F.col("one"))).select(*parts.columns, (F.col("settled") | F.col("more")).alias("done"), "least", "most")
     clipped = parts.filter("whole is null").select(*parts.columns, F.col("settled").alias("done"), F.col("low").alias("least"), F.col("high").alias("most"))
     single = clipped.unionByName(one).select("doc_id", "print", "m", "gram", "block", "near", "done", "least", "most", F.posexplode("strings").alias("at", "string"))
     single = single.withColumn("k", F.col("near") + F.col("at"))
@@ -254,7 +255,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, unit: Unit = Bytes, across: b
     at = (F.col("m") - F.col("block") * BLOCK).alias("first")
     spans = spans.unionByName(found.select("doc_id", "print", at, at.alias("last"), "mask"))
     out = written(spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last", "mask")).alias("spans")), "repeats")
-    discard(nodes, twice, classes, parts)
+    discard(nodes, twice, classes, parts, wholes)
     return out
 
 
