@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import pyarrow as pa
@@ -21,6 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Tables written inside a stage that are still there, by their paths; None outside of stages.
+_of_stages: dict[str, DataFrame] = {}
+_inside = False
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Around the call of a pipeline's stage: deletes what the session's stages before it have written, as their results are stored by now, and notes what this one writes."""
+    global _inside
+    discard(*[t for t in _of_stages.values() if t.sparkSession is spark])
+    _inside = True
+    try:
+        yield
+    finally:
+        _inside = False
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back. A lost executor costs only its own tasks."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -28,6 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.sparkSession.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of the finished lineage once the driver has collected its garbage
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _inside:
+        _of_stages[path] = out
     return out
 
 
@@ -37,6 +57,7 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _of_stages.pop(table.written_to, None)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -29,12 +29,11 @@ def normalised(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """A written table of every row: a number of its own, doc_id, text, how long it is, the fingerprints of its normalised text, and the columns as c0, c1, …"""
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), normalised(docs["text"]).alias("norm"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
+    """A written table of every row: a number of its own, doc_id, text, how long it is, the fingerprints of its normalised text, and the other columns as c0, c1, …"""
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), normalised(docs["text"]).alias("norm"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
     return written(
         rows.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.char_length("text").cast("long").alias("n_points"), F.char_length("norm").alias("n_norm"),
+            F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), F.char_length("norm").alias("n_norm"),
             F.xxhash64("norm").alias("print"), F.sha2("norm", 256).alias("text_sha256"), *(f"c{k}" for k in range(len(columns))),
         ),
         "exact-keys",
@@ -95,6 +94,8 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    keys = keyed(docs, docs.columns)
-    kept = judged(keys, block).filter("kept").select("row")
-    return keys.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    at = {c: f"c{k}" for k, c in enumerate(others)}
+    keys = keyed(docs, others)
+    stays = judged(keys, block).filter("kept").select("row")
+    return keys.join(stays.hint("shuffle_hash"), "row", "left_semi").select(*(F.col(at.get(c, c)).alias(c) for c in docs.columns))

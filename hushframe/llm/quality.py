@@ -33,7 +33,7 @@ from hushframe.llm.common import discard, slices, written
 
 ORDER = 4
 #: Bytes of text in a group, about; characters handled together; rows of n-grams held before they are merged.
-GROUP, PIECE, MERGE = 16 << 20, 1 << 20, 1 << 20
+GROUP, PIECE, MERGE = 16 << 20, 1 << 19, 1 << 20
 #: Share of trusted texts beyond each threshold; widening in log perplexity with many trusted texts, and with none; the number at which both weights are a half.
 TAIL, MARGIN, FEW_MARGIN, HALFWAY = 0.0005, 0.02, 0.22, 50
 #: Symbols at its language's median that a text is taken together with.
