@@ -414,23 +414,9 @@ def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagger.merge_intervals(rows, "k").withColumnRenamed("end", "stop")
 
 
-@query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, cast(least(len(text), doc_id % 977) AS bigint) AS n FROM documents)")
-def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.least(F.length("text"), (F.col("doc_id") % 977).cast("int")).alias("n"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
-
-
 @query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, unnest(list_distinct(list_append(range(0, len(text), 384), len(text)))) AS n FROM documents)")
-def byte_whole_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """byte_offsets at every 384th character of a text and at its end."""
-    n = F.length("text")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), n, F.lit(384)), F.array(n)))).alias("n"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
-
-
-@query("SELECT doc_id, n, cast(strlen(substr(text, 1, n)) AS bigint) AS bytes FROM (SELECT doc_id, text, unnest(list_distinct(list_append(range(0, len(text), 384), len(text)))) AS n FROM documents)")
-def byte_whole_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """byte_offsets at every 384th character of a text and at its end."""
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets of every 384th character of a text and of its end."""
     n = F.length("text")
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), n, F.lit(384)), F.array(n)))).alias("n"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
@@ -503,15 +489,9 @@ def history_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
 
 
-@query("SELECT doc_id, replace(upper(regexp_replace(substr(text, 1, 200), '[^\\p{L}\\p{N}]', '', 'g')), 'ẞ', 'SS') AS loose, lower(regexp_replace(substr(text, 1, 200), '[^a-zA-Z0-9@.]', '', 'g')) AS strict FROM documents")
-def norm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", evaluate.norm_value(head).alias("loose"), evaluate.norm_external(head).alias("strict"))
-
-
 @query("SELECT doc_id, len(loose) AS n_loose, md5(loose) AS loose_md5, len(strict) AS n_strict, md5(strict) AS strict_md5 FROM (SELECT doc_id, replace(upper(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), 'ẞ', 'SS') AS loose, lower(regexp_replace(text, '[^a-zA-Z0-9@.]', '', 'g')) AS strict FROM documents)")
-def norm_whole_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """norm_values over whole texts."""
+def norm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both normal forms of whole texts, by length and digest."""
     rows = table(spark, sf_dir, "documents").select("doc_id", evaluate.norm_value(F.col("text")).alias("loose"), evaluate.norm_external(F.col("text")).alias("strict"))
     return rows.select("doc_id", *(c for k in ("loose", "strict") for c in (F.length(k).cast("long").alias(f"n_{k}"), F.md5(k).alias(f"{k}_md5"))))
 
@@ -593,17 +573,11 @@ def span_to_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagger.spans_to_blocks(_side(spark, sf_dir, _TEXT_SPANS), _side(spark, sf_dir, _TEXT_BLOCKS))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 300), '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '\"', '&quot;', 'g'), chr(39), '&#39;', 'g') AS escaped, coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ''), 'page') AS host FROM pages")
+@query("SELECT page_id, len(escaped) AS n_escaped, md5(escaped) AS escaped_md5, host FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), ''), 'page') AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '\"', '&quot;', 'g'), chr(39), '&#39;', 'g') AS escaped FROM pages)")
 def page_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", records.escape_html(F.substring("html", 1, 300)).alias("escaped"), records.history_host(F.col("url")).alias("host"))
-
-
-@query("SELECT page_id, len(escaped) AS n_escaped, md5(escaped) AS escaped_md5 FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '\"', '&quot;', 'g'), chr(39), '&#39;', 'g') AS escaped FROM pages)")
-def page_whole_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The escapes of page_escapes over whole pages."""
-    rows = table(spark, sf_dir, "pages").select("page_id", records.escape_html(F.col("html")).alias("escaped"))
-    return rows.select("page_id", F.length("escaped").cast("long").alias("n_escaped"), F.md5("escaped").alias("escaped_md5"))
+    """Whole pages escaped, by length and digest, and the host a history keeps."""
+    rows = table(spark, sf_dir, "pages").select("page_id", records.escape_html(F.col("html")).alias("escaped"), records.history_host(F.col("url")).alias("host"))
+    return rows.select("page_id", F.length("escaped").cast("long").alias("n_escaped"), F.md5("escaped").alias("escaped_md5"), "host")
 
 
 @query(
