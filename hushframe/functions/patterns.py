@@ -69,6 +69,23 @@ INLINE_TAGS = "a abbr b bdi bdo cite code data dfn em i kbd mark q rp rt ruby s
 SKIPPED_TAGS = "script style noscript svg head".split()
 INTERACTIVE_TAGS, INTERACTIVE_ROLES = "a button input select textarea".split(), "button link textbox".split()
 LABEL_KINDS = {"EMAIL": "email", "TEL": "phone_in", "BOD": "dob", "DATE": "dob", "DRIVERLICENSE": "id_number", "SOCIALNUMBER": "id_number", "IDCARD": "id_number", "PASSPORT": "id_number"}
+TAG_CLASSES = {
+    "GIVENNAME1": "NAME",
+    "GIVENNAME2": "NAME",
+    "LASTNAME1": "NAME",
+    "LASTNAME2": "NAME",
+    "LASTNAME3": "NAME",
+    "TITLE": "NAME",
+    "CITY": "ADDR",
+    "STATE": "ADDR",
+    "STREET": "ADDR",
+    "BUILDING": "ADDR",
+    "SECADDRESS": "ADDR",
+    "POSTCODE": "ADDR",
+    "COUNTRY": "ADDR",
+    "USERNAME": "USER",
+    "IP": "IP",
+}
 
 # Built from them. --------------------------------------------------------------------------------------------------------
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.functions.patterns import LABEL_KINDS
+
+#: Kinds that the markup names, which detection in text isn't scored by.
 STRUCTURAL = ("password",)
 
 
@@ -35,6 +38,34 @@ def bag_match(gold: DataFrame, found: DataFrame, baseline: DataFrame | None = No
     return rows.withColumns({"tp": tp, "fp": F.col("pool") - tp, "fn": F.col("gold") - tp})
 
 
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """The table's value for a key, null for others."""
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+
+
+def without_structural(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("kind").isin(*STRUCTURAL))
+
+
+def external_match(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """bag_match of (doc_id, label, value) with (doc_id, kind, value) within a document: labels without a kind and kinds that no label has are left out."""
+    norm = norm_external(F.coalesce("value", F.lit(""))).alias("norm")
+    gold = gold.select("doc_id", lookup(F.col("label"), LABEL_KINDS).alias("kind"), norm).filter("kind is not null")
+    found = found.filter(F.col("kind").isin(*set(LABEL_KINDS.values()))).select("doc_id", "kind", norm)
+    return bag_match(gold, found, keys=("doc_id", "kind", "norm"))
+
+
+def byte_prf(gold: DataFrame, said: DataFrame) -> DataFrame:
+    """(tag, tp, fp, fn, precision, recall, f1) of (doc_id, pos, tag) rows, one for each tagged byte, and over all tags (null). One aggregation by byte, no pairs."""
+    none = F.lit(None).cast("string")
+    rows = gold.select("doc_id", "pos", F.col("tag").alias("g"), none.alias("p")).unionByName(said.select("doc_id", "pos", none.alias("g"), F.col("tag").alias("p")))
+    rows = rows.groupBy("doc_id", "pos").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    same, one, zero = F.coalesce(F.col("g") == F.col("p"), F.lit(False)).cast("int"), F.lit(1), F.lit(0)
+    cell = lambda tag, tp, fp, fn: F.struct(tag.alias("tag"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    cells = rows.select(F.inline(F.array(cell(F.col("p"), same, one - same, zero), cell(F.col("g"), zero, zero, one - same)))).filter("tag is not null")
+    return prf(cells, "tag")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
@@ -55,8 +86,13 @@ def hard_recall(gold: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The element at n // 2 of the sorted values."""
-    return rows.groupBy(key).agg(F.expr(f"element_at(array_sort(collect_list({value})), cast(count({value}) div 2 + 1 as int))").alias("median"))
+    """The element at n // 2 of the sorted values. Equal values are counted first, so that a key's window holds its distinct values alone, one row each, sorted with spill."""
+    distinct = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy(value))
+    total = F.sum("n").over(Window.partitionBy(key))
+    ranked = distinct.withColumns({"upto": upto, "total": total})
+    medians = ranked.groupBy(key).agg(F.min(F.when(F.expr("upto > total div 2"), F.col(value))).alias("median"))
+    return rows.select(key).distinct().join(medians.withColumnRenamed(key, "_of"), F.col(key).eqNullSafe(F.col("_of")), "left").select(key, "median")
 
 
 def threshold_sweep(cells: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
@@ -43,6 +43,28 @@ def text_nodes(html: Column) -> Column:
     return F.filter(F.transform(F.split(stripped(html), "<[^>]*>", -1), trim_white), lambda t: t != "")
 
 
+def text_runs(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, text): trimmed text outside tags on any markup, balanced or not.
+
+    Each < opens a level and each > closes one; what stands at level 0 or below is text, and a run of it ends at the next <. So a piece between two < starts at
+    the level (pieces before it, less the > in them), and its text is what follows as many > as that. One window by page; empty and null pages have no rows.
+    """
+    order = Window.partitionBy("page_id").orderBy("pos")
+    pieces = pages.select("page_id", F.posexplode(F.split(stripped(F.col("html")), "<", -1)).alias("pos", "piece")).withColumn("parts", F.split("piece", ">", -1))
+    closed = F.sum(F.size("parts") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    level = F.greatest(F.col("pos") - F.coalesce(closed, F.lit(0)), F.lit(0)).cast("int")
+    rows = pieces.withColumn("text", trim_white(F.array_join(F.slice("parts", level + 1, F.size("parts")), ""))).filter("text <> ''")
+    return rows.select("page_id", (F.row_number().over(order) - 1).cast("long").alias("ord"), "text")
+
+
+def hosts(nodes: DataFrame, index: Column, key: str = "page_id", order: str = "ord") -> DataFrame:
+    """The text node of each page that index (modulo their number) picks among those that can hold an injected text: long, in a visible box, not in a script."""
+    fit = (F.length(trim_white(F.col("text"))) >= 40) & (F.col("w") >= 80) & (F.col("h") >= 10) & ~F.lower("tag").isin("script", "style", "noscript")
+    w = Window.partitionBy(key)
+    rows = nodes.filter(fit).withColumns({"nth": F.row_number().over(w.orderBy(order)) - 1, "n": F.count("*").over(w)})
+    return rows.filter(F.col("nth") == F.pmod(index, F.col("n"))).drop("nth", "n")
+
+
 def attr_values(html: Column) -> Column:
     """Non-blank double-quoted values of value, alt, placeholder and aria-label."""
     found = F.regexp_extract_all(stripped(html), F.lit(r'(?i)(?:value|alt|placeholder|aria-label)="([^"]*)"'), F.lit(1))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE, OPAQUE, IOU, FACE_SCORE, MOST_FACES = 0.7, 0.3, 0.3, 0.6, 32
+LEAST_AREA = 48 * 48
 
 
 def round_half_up(x: Column) -> Column:
@@ -59,14 +60,34 @@ def nms(boxes: Column, kind: str, limit: float = IOU, score: float = FACE_SCORE,
     return F.slice(F.aggregate(ordered, none, step), 1, most)
 
 
-def decode_anchors(scores: Column, columns: Column, stride: int) -> Column:
-    """Cell centres and score of each anchor: geometric mean of class and object score, position by the row-major index."""
+def decode_anchors(anchors: Column, columns: int, stride: int, least: float = FACE_SCORE) -> Column:
+    """Boxes (x, y, w, h, score, id) of one stride's anchors (cls, obj, dx, dy, dw, dh) in row-major order: the score is the geometric mean of class and object score,
+    the centre lies dx and dy cells into the anchor's own, the sides are exponentials of dw and dh in strides. Boxes below the least score go."""
+
+    def box(a: Column, i: Column) -> Column:
+        w, h = F.exp(a["dw"]) * stride, F.exp(a["dh"]) * stride
+        x, y = (i % columns + a["dx"]) * stride, (F.floor(i / columns) + a["dy"]) * stride
+        score = F.sqrt(F.greatest(F.lit(0.0), a["cls"]) * F.greatest(F.lit(0.0), a["obj"]))
+        return F.struct((x - w / 2).alias("x"), (y - h / 2).alias("y"), w.alias("w"), h.alias("h"), score.alias("score"), i.alias("id"))
+
+    return F.filter(F.transform(anchors, box), lambda b: b["score"] >= least)
+
+
+def from_letterbox(boxes: Column, scale: Column, pad_x: Column, pad_y: Column) -> Column:
+    """Boxes in the picture's own pixels."""
     return F.transform(
-        scores,
-        lambda s, i: F.struct(((i % columns) * stride).alias("x"), (F.floor(i / columns) * stride).alias("y"), F.sqrt(F.greatest(F.lit(0.0), s["cls"]) * F.greatest(F.lit(0.0), s["obj"])).alias("score")),
+        boxes,
+        lambda b: F.struct(((b["x"] - pad_x) / scale).alias("x"), ((b["y"] - pad_y) / scale).alias("y"), (b["w"] / scale).alias("w"), (b["h"] / scale).alias("h"), F.round(b["score"], 3).alias("score")),
     )
 
 
+def unscanned_regions(candidates: Column, scanned: Column) -> Column:
+    """Candidates (x, y, w, h) no model looked at, as regions of the gravest kind; those too small to hold a legible face are left out. Unless `scanned` says true, all count as unseen."""
+    large = F.filter(candidates, lambda c: c["w"] * c["h"] >= LEAST_AREA)
+    regions = F.transform(large, lambda c: F.struct(*(c[k].alias(k) for k in "xywh"), F.lit("unscanned").alias("kind"), F.lit(3).alias("severity")))
+    return F.filter(regions, lambda _: ~F.coalesce(scanned, F.lit(False)))
+
+
 def sigmoid(values: Column) -> Column:
     return F.transform(values, lambda x: 1 / (1 + F.exp(-x)))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.functions.patterns import TAG_CLASSES
+from hushframe.operators.evaluate import lookup
+
 WIDTH, STRIDE, LEAST_WINDOW, LEAST_TEXT, LEAST_SPAN, CONFIDENCE = 384, 320, 8, 8, 3, 0.90
 #: What may stand between two spans of one kind that are bridged.
 BRIDGE = re.compile(rb"[ \t,;:]{1,2}\Z")
@@ -124,6 +128,35 @@ def tag_spans(docs: DataFrame, scorer: Callable[[bytes], list[str | None]]) -> D
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, start int, end int")
 
 
+def confident_scorer(logits: Callable[[bytes], np.ndarray], classes: list[str | None], least: float = CONFIDENCE) -> Callable[[bytes], list[str | None]]:
+    """A scorer for tag_spans from a model that gives a row of logits for each byte: the class of the greatest (the first of equals), None for class 0 and where
+    its softmax is below the least. `classes` names the kind of each class; tags that begin and go on a kind share its name."""
+
+    def run(window: bytes) -> list[str | None]:
+        rows = np.asarray(logits(window), np.float64)
+        best = rows.argmax(axis=1)
+        share = 1 / np.exp(rows - rows.max(axis=1, keepdims=True)).sum(axis=1)
+        return [classes[k] if k and s >= least else None for k, s in zip(best.tolist(), share.tolist())]
+
+    return run
+
+
+def bio_tags(spans: DataFrame) -> DataFrame:
+    """(doc_id, pos, tag): B and I tags of bytes from labelled spans (doc_id, text, ord, label, start, end) in characters; of spans over one byte the last by ord
+    counts. Labels without a class, spans that start beyond the text and null texts give none."""
+    at = lambda c: F.octet_length(F.substring(F.col("text"), F.lit(1), F.col(c)))
+    rows = spans.select("doc_id", "ord", lookup(F.col("label"), TAG_CLASSES).alias("class"), at("start").alias("a"), at("end").alias("b"), F.octet_length("text").alias("n"))
+    rows = rows.filter("class is not null and a < n").select("doc_id", "ord", "class", "a", F.explode(F.sequence("a", F.greatest(F.col("b") - 1, F.col("a")))).alias("pos"))
+    tag = F.concat(F.when(F.col("pos") == F.col("a"), "B-").otherwise("I-"), "class")
+    return rows.groupBy("doc_id", F.col("pos").cast("long").alias("pos")).agg(F.max_by(tag, "ord").alias("tag"))
+
+
+def training_windows(n: Column, width: int = WIDTH, stride: int = STRIDE, least: int = 32) -> Column:
+    """(start, length) of the windows a text of n bytes is trained on: one if it fits, else all of the least length or more, the end's own window too."""
+    starts = F.when(n <= width, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)), F.lit(stride)), lambda s: n - s >= least))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(n - s, F.lit(width)).alias("length")))
+
+
 def digit_scorer(data: bytes) -> list[str | None]:
     """A deterministic stand-in for a model: runs of digits are numbers."""
     return ["number" if 48 <= b <= 57 else None for b in data]

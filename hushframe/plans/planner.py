@@ -101,6 +101,23 @@ def request_problems(goal: Column, text: Column, elements: Column, screenshot: C
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items())))
 
 
+def leaks(payload: Column, secrets: Column) -> Column:
+    """The secrets a payload holds."""
+    return F.filter(secrets, lambda s: F.contains(payload, s))
+
+
+def clean_payload(payload: Column, secrets: Column, decoys: Column) -> Column:
+    """Whether a payload holds no secret and all decoys."""
+    return (F.size(leaks(payload, secrets)) == 0) & F.forall(decoys, lambda d: F.contains(payload, d))
+
+
+def step_summary(steps: Column) -> Column:
+    """What a run reports of its steps (action, reason, executed, ms, spans, elements): numbered from 1, with the redactions of both sorts summed."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    keep = ("action", "reason", "executed", "ms")
+    return F.transform(steps, lambda s, i: F.struct((i + 1).alias("n"), *(s[k].alias(k) for k in keep), (zero(s["spans"]) + zero(s["elements"])).alias("redacted")))
+
+
 def signature(action: Column) -> Column:
     """type:index:text:dy with - for what is null; none without an action."""
     part = lambda k: F.coalesce(action[k].cast("string"), F.lit("-"))

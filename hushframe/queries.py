@@ -356,19 +356,35 @@ def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.raster_cells(boxes(spark, sf_dir), 8, 8, 5).withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")})
 
 
-@query()
+_NMS_INTER = "greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))"
+
+
+@query(
+    f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, n, x, y, w, h) AS r FROM (SELECT {_BOX(60, 40, 17, 13)}, 0.6::double + l_tax::double AS score FROM lineitem) WHERE score >= 0.6),
+    s AS (SELECT id, 1 AS r, [struct_pack(n := n, x := x, y := y, w := w, h := h, score := score)] AS kept FROM o WHERE r = 1 UNION ALL
+      SELECT b.id, s.r + 1, case when len(list_filter(s.kept, lambda k: coalesce({_NMS_INTER} / nullif(k.w * k.h + b.w * b.h - {_NMS_INTER}, 0), 0) > 0.3)) > 0 then s.kept
+        else list_append(s.kept, struct_pack(n := b.n, x := b.x, y := b.y, w := b.w, h := b.h, score := b.score)) end FROM s JOIN o b ON b.id = s.id AND b.r = s.r + 1)
+    SELECT id, b.n AS n, round(b.score, 6) AS score FROM (SELECT id, unnest(kept) AS b FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC) = 1)"""
+)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each order that suppress no other, scored by their tax."""
-    scored = boxes(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (0.6 + F.col("l_tax")).alias("score")), ["id", "n"])
+    scored = spark.sql(f"SELECT {_BOX(60, 40, 17, 13)}, 0.6D + cast(l_tax as double) AS score FROM {{l}}", l=table(spark, sf_dir, "lineitem"))
     kind = "struct<x:int,y:int,w:int,h:int,score:double,id:int>"
     rows = scored.groupBy("id").agg(F.collect_list(F.struct("x", "y", "w", "h", "score", F.col("n").cast("int").alias("id"))).cast(f"array<{kind}>").alias("boxes"))
     return rows.select("id", F.explode(geometry.nms(F.col("boxes"), kind)).alias("b")).select("id", F.col("b.id").alias("n"), F.round("b.score", 6).alias("score"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE cell AS (SELECT vec_id AS id, i, (i // 8) AS y, i % 8 AS x, embedding[i + 1]::double AS p FROM embeddings, range(64) t(i) WHERE embedding[i + 1]::double > 0.1),
+    reach AS (SELECT id, i AS root, i, y, x FROM cell UNION SELECT c.id, r.root, c.i, c.y, c.x FROM reach r JOIN cell c ON c.id = r.id AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+    of AS (SELECT id, i, min(root) AS root FROM reach GROUP BY id, i)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY root) - 1 AS component, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS cells, max(p) AS peak
+    FROM of JOIN cell USING (id, i) GROUP BY id, root"""
+)
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("cells"))
-    return geometry.grid_boxes(rows, 8, 8, 0.1)
+    found = geometry.grid_boxes(rows, 8, 8, 0.1)
+    return found.select("id", *(F.col(c).cast("long").alias(c) for c in ("component", "x0", "y0", "x1", "y1", "cells")), "peak")
 
 
 @query(
@@ -422,9 +438,17 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), tagger.byte_start(F.col("text"), F.col("n")).cast("long").alias("bytes"))
 
 
-@query()
+_NUMBER_WORD = "[A-Za-z0-9_]*[0-9][A-Za-z0-9_]*"
+
+
+@query(
+    f"""SELECT doc_id, 'number' AS kind, start, start + len(raws[i]) AS "end" FROM (SELECT doc_id, raws, i, len(coalesce(array_to_string(gaps[1:i], ''), '')) + len(coalesce(array_to_string(raws[1:i-1], ''), '')) AS start
+      FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{_NUMBER_WORD}(?:[ \t,;:]{{1,2}}{_NUMBER_WORD})*') AS gaps,
+        regexp_extract_all(text, '{_NUMBER_WORD}(?:[ \t,;:]{{1,2}}{_NUMBER_WORD})*') AS raws FROM documents WHERE strlen(text) >= 8))) WHERE len(raws[i]) >= 3"""
+)
 def tag_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagger.tag_spans(table(spark, sf_dir, "documents"), tagger.digit_scorer)
+    spans = tagger.tag_spans(table(spark, sf_dir, "documents"), tagger.digit_scorer)
+    return spans.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
 
 
 @query("SELECT vec_id, case when best > 1 AND share >= 0.02 then best - 1 else 0 end AS class FROM (SELECT vec_id, list_position(embedding, list_max(embedding)) AS best, 1 / list_sum(list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double))) AS share FROM embeddings)")
@@ -609,3 +633,167 @@ def two_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+# Text runs, faces, external labels, byte tags, payloads. -------------------------------------------------------------------
+
+_TORN = "case page_id % 3 when 0 then 'a > b ' || html || ' tail <i' when 1 then html || ' <p <b> nested> open <' else html end"
+_SQL_TORN_STRIP = _SQL_STRIP.replace("html", f"({_TORN})", 1)
+_RUNS = f"""pieces AS (SELECT page_id, i - 1 AS pos, string_split(piece, '>') AS parts FROM (SELECT page_id, i, p[i] AS piece FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, string_split({_SQL_TORN_STRIP}, '<') AS p FROM pages)))),
+  levels AS (SELECT *, greatest(pos - coalesce(sum(len(parts) - 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::bigint AS level FROM pieces),
+  runs AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ord, text FROM (SELECT page_id, pos, {_SQL_TRIM("coalesce(array_to_string(parts[level + 1:], ''), '')")} AS text FROM levels) WHERE text <> '')"""
+
+
+def torn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages of three with brackets that don't balance."""
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_TORN).alias("html"))
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs")
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.text_runs(torn_pages(spark, sf_dir))
+
+
+_HOST = ("ord * 37 % 200 AS w", "ord * 7 % 40 AS h", "case when ord % 9 = 0 then 'SCRIPT' else 'p' end AS tag")
+
+
+@query(f"WITH {_RUNS}, fit AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS nth, count(*) OVER (PARTITION BY page_id) AS n FROM (SELECT *, {', '.join(_HOST)} FROM runs) WHERE len(text) >= 40 AND w >= 80 AND h >= 10 AND lower(tag) NOT IN ('script', 'style', 'noscript')) SELECT page_id, ord FROM fit WHERE nth = page_id % n")
+def injection_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = extract.text_runs(torn_pages(spark, sf_dir)).selectExpr("*", *_HOST)
+    return extract.hosts(nodes, F.col("page_id")).select("page_id", "ord")
+
+
+@query(
+    """SELECT vec_id, i AS anchor, round((i % 8 + dx) * 80 - exp(dw) * 40, 4) AS x, round((i // 8 + dy) * 80 - exp(dh) * 40, 4) AS y, round(exp(dw) * 80, 4) AS w, round(exp(dh) * 80, 4) AS h, round(score, 6) AS score FROM (
+    SELECT vec_id, i, e[i + 1]::double AS dx, e[64 - i]::double AS dy, e[(i + 7) % 64 + 1]::double AS dw, e[(i + 31) % 64 + 1]::double AS dh, sqrt(greatest(0, e[i + 1]::double) * greatest(0, e[(i + 3) % 64 + 1]::double)) AS score
+    FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings)) WHERE score >= 0.15"""
+)
+def anchor_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.get("embedding", k).cast("double")
+    anchors = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda i: F.struct(at(i).alias("cls"), at((i + 3) % 64).alias("obj"), at(i).alias("dx"), at(63 - i).alias("dy"), at((i + 7) % 64).alias("dw"), at((i + 31) % 64).alias("dh")),
+    )
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(geometry.decode_anchors(anchors, 8, 80, 0.15)).alias("b"))
+    return rows.select("vec_id", F.col("b.id").cast("long").alias("anchor"), *(F.round(F.col(f"b.{c}"), 4).alias(c) for c in "xywh"), F.round("b.score", 6).alias("score"))
+
+
+_CANDIDATES = "SELECT l_orderkey AS id, l_linenumber AS n, cast(l_partkey % 600 AS int) AS x, cast(l_suppkey % 400 AS int) AS y, cast(l_quantity * 2 AS int) AS w, cast(l_partkey % 90 AS int) AS h FROM lineitem"
+
+
+@query(f"SELECT id, n, x, y, w, h, 'unscanned' AS kind, 3 AS severity FROM ({_CANDIDATES}) WHERE w * h >= 2304 AND id % 3 <> 0")
+def unscanned_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of an order that no model looked at; orders divisible by three were scanned, a third of the others don't say."""
+    rows = spark.sql(_CANDIDATES.replace("FROM lineitem", "FROM {l}"), l=table(spark, sf_dir, "lineitem"))
+    scanned = F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False)
+    regions = geometry.unscanned_regions(F.array(F.struct("x", "y", "w", "h")), scanned)
+    return rows.select("id", "n", F.explode(regions).alias("r")).select("id", "n", "r.*")
+
+
+_LABELS = (*patterns.LABEL_KINDS, "USERNAME", "CITY")
+_SAID_KINDS = ("email", "phone_in", "dob", "id_number", "card", "pan")
+_PICK = lambda column, values: f"case {column} " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(values)) + " end"
+_EXT_GOLD = f"SELECT o_custkey % 200 AS doc_id, {_PICK('o_orderkey % 10', _LABELS)} AS label, concat('No. ', cast(o_orderkey % 11 AS string), '@X') AS value FROM orders"
+_EXT_FOUND = f"SELECT o_custkey % 200 AS doc_id, {_PICK('(o_orderkey * 7) % 6', _SAID_KINDS)} AS kind, concat('no.', cast(o_orderkey % 13 AS string), ' @x') AS value FROM orders WHERE o_orderkey % 4 <> 0"
+_SQL_EXTERNAL = "lower(regexp_replace(value, '[^a-zA-Z0-9@.]', '', 'g')) AS norm"
+_SQL_LABELS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in patterns.LABEL_KINDS.items()) + ") AS m(label, kind)"
+
+
+@query(
+    f"""WITH g AS (SELECT doc_id, kind, {_SQL_EXTERNAL}, count(*) AS gold FROM ({_EXT_GOLD}) JOIN {_SQL_LABELS} USING (label) GROUP BY ALL), f AS (SELECT doc_id, kind, {_SQL_EXTERNAL}, count(*) AS pool FROM ({_EXT_FOUND}) WHERE kind IN ('email', 'phone_in', 'dob', 'id_number') GROUP BY ALL),
+    k AS (SELECT kind, least(coalesce(gold, 0), coalesce(pool, 0)) AS tp, coalesce(pool, 0) - least(coalesce(gold, 0), coalesce(pool, 0)) AS fp, coalesce(gold, 0) - least(coalesce(gold, 0), coalesce(pool, 0)) AS fn FROM g FULL JOIN f USING (doc_id, kind, norm))
+    SELECT kind, tp, fp, fn, {_R6} FROM (SELECT kind, {_PRF} FROM k GROUP BY ROLLUP (kind))"""
+)
+def external_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.prf(evaluate.external_match(*(_side(spark, sf_dir, s) for s in (_EXT_GOLD, _EXT_FOUND))), "kind")
+
+
+_WITH_PASSWORD = [f"SELECT page_id, case kind when '4' then 'password' else kind end AS kind, norm FROM ({s})" for s in (_GOLD, _FOUND)]
+
+
+@query(f"""WITH g AS (SELECT *, count(*) AS gold FROM ({_WITH_PASSWORD[0]}) WHERE kind <> 'password' GROUP BY ALL), f AS (SELECT *, count(*) AS pool FROM ({_WITH_PASSWORD[1]}) WHERE kind <> 'password' GROUP BY ALL)
+    SELECT kind, cast(sum(least(coalesce(gold, 0), coalesce(pool, 0))) AS bigint) AS tp, cast(sum(coalesce(gold, 0)) AS bigint) AS gold, cast(sum(coalesce(pool, 0)) AS bigint) AS pool FROM g FULL JOIN f USING (page_id, kind, norm) GROUP BY kind""")
+def without_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, found = (evaluate.without_structural(_side(spark, sf_dir, s)) for s in _WITH_PASSWORD)
+    return evaluate.bag_match(gold, found).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tp", "gold", "pool")))
+
+
+_TAG_LABELS = (*patterns.TAG_CLASSES, "EMAIL", "DATE")
+_LABELLED = f"""SELECT doc_id, text, k AS ord, {_PICK('(doc_id + k) % 17', _TAG_LABELS)} AS label, cast((doc_id * 7 + k * 41) % (length(text) + 20) AS int) AS start,
+  cast((doc_id * 7 + k * 41) % (length(text) + 20) + (doc_id + k * 5) % 50 AS int) AS stop FROM"""
+_SQL_CLASSES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in patterns.TAG_CLASSES.items()) + ") AS m(label, class)"
+
+
+def _sql_bio(where: str) -> str:
+    spans = f"SELECT doc_id, ord, class, strlen(substr(text, 1, start)) AS a, strlen(substr(text, 1, stop)) AS b, strlen(text) AS n FROM ({_LABELLED} documents, range(6) r(k)) JOIN {_SQL_CLASSES} USING (label) WHERE {where}"
+    return f"SELECT doc_id, pos, arg_max(case when pos = a then 'B-' else 'I-' end || class, ord) AS tag FROM (SELECT *, unnest(range(a, greatest(b, a + 1))) AS pos FROM ({spans}) WHERE a < n) GROUP BY doc_id, pos"
+
+
+def labelled_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    return spark.sql(f"{_LABELLED} {{d}}", d=docs).withColumnRenamed("stop", "end")
+
+
+@query(_sql_bio("true"))
+def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagger.bio_tags(labelled_spans(spark, sf_dir))
+
+
+@query(
+    f"""WITH g AS ({_sql_bio("true")}), p AS ({_sql_bio("(doc_id + ord) % 3 <> 1")}), b AS (SELECT g.tag AS g, p.tag AS p FROM g FULL JOIN p USING (doc_id, pos)),
+    k AS (SELECT p AS tag, (g IS NOT DISTINCT FROM p)::int AS tp, (g IS DISTINCT FROM p)::int AS fp, 0 AS fn FROM b WHERE p IS NOT NULL UNION ALL SELECT g, 0, 0, (g IS DISTINCT FROM p)::int FROM b WHERE g IS NOT NULL)
+    SELECT tag, tp, fp, fn, {_R6} FROM (SELECT tag, {_PRF} FROM k GROUP BY ROLLUP (tag))"""
+)
+def byte_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by tag, of which a third of the spans are missed and show what lies under them."""
+    spans = labelled_spans(spark, sf_dir)
+    return evaluate.byte_prf(tagger.bio_tags(spans), tagger.bio_tags(spans.filter("(doc_id + ord) % 3 <> 1")))
+
+
+@query("SELECT doc_id, s AS start, least(n - s, 384) AS length FROM (SELECT doc_id, n, unnest(case when n <= 384 then [0] else list_filter(range(0, n - 1, 320), lambda s: n - s >= 32) end) AS s FROM (SELECT doc_id, strlen(text) AS n FROM documents))")
+def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = tagger.training_windows(F.octet_length("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(windows).alias("w"))
+    return rows.select("doc_id", F.col("w.start").cast("long").alias("start"), F.col("w.length").cast("long").alias("length"))
+
+
+@query(
+    f"""WITH {DOC_SPANS}, pieces AS (SELECT s.doc_id, s.start, s.stop, substr(d.text, coalesce(lag(s.stop) OVER w, 0) + 1, s.start - coalesce(lag(s.stop) OVER w, 0)) ||
+      case kind when 'card' then '[[CARD]]' else '[[EMAIL]]' end AS piece FROM spans s JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.start)),
+    whole AS (SELECT doc_id, string_agg(piece, '' ORDER BY start) AS front, max(stop) AS stop FROM pieces GROUP BY doc_id), secrets AS (SELECT doc_id, list_distinct(list(raw)) AS secrets FROM spans GROUP BY doc_id),
+    sent AS (SELECT d.doc_id, secrets, case when d.doc_id % 10 = 0 then d.text else coalesce(w.front, '') || substr(d.text, coalesce(w.stop, 0) + 1) end || case when d.doc_id % 4 <> 0 then ' ORDER-100000000000' else '' end AS payload
+      FROM documents d LEFT JOIN whole w USING (doc_id) LEFT JOIN secrets USING (doc_id))
+    SELECT doc_id, cast(coalesce(len(secrets), 0) AS bigint) AS n_secrets, cast(coalesce(len(list_filter(secrets, lambda s: contains(payload, s))), 0) AS bigint) AS n_leaked,
+      coalesce(len(list_filter(secrets, lambda s: contains(payload, s))), 0) = 0 AND contains(payload, 'ORDER-100000000000') AS clean FROM sent"""
+)
+def payload_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted documents as payloads, held against their own identifiers and a decoy; each tenth is sent unredacted, each fourth loses its decoy."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", scan.scan_text(F.col("text")))
+    sent = F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(redact.redact_text(F.col("text"), F.col("spans")))
+    decoy = "ORDER-100000000000"
+    rows = rows.select("doc_id", F.array_distinct(F.transform("spans", lambda s: s["raw"])).alias("secrets"), F.concat(sent, F.when(F.col("doc_id") % 4 != 0, " " + decoy).otherwise("")).alias("payload"))
+    payload, secrets = F.col("payload"), F.col("secrets")
+    return rows.select("doc_id", F.size(secrets).cast("long").alias("n_secrets"), F.size(planner.leaks(payload, secrets)).cast("long").alias("n_leaked"), planner.clean_payload(payload, secrets, F.array(F.lit(decoy))).alias("clean"))
+
+
+_STEPS = "SELECT o_custkey AS run_id, o_orderkey AS ord, case o_orderkey % 3 when 0 then 'click' when 1 then 'type' else 'scroll' end AS action, o_orderpriority AS reason, o_orderkey % 5 <> 0 AS executed, cast(o_orderkey % 900 AS int) AS ms, case when o_orderkey % 7 > 0 then cast(o_orderkey % 7 AS int) end AS spans, cast(o_orderkey % 4 AS int) AS elements FROM orders"
+
+
+@query(f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS n, action, reason, executed, ms, coalesce(spans, 0) + elements AS redacted FROM ({_STEPS})")
+def step_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _side(spark, sf_dir, _STEPS).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "action", "reason", "executed", "ms", "spans", "elements"))).alias("steps"))
+    return steps.select("run_id", F.inline(planner.step_summary(F.col("steps")))).withColumn("n", F.col("n").cast("long"))
+
+
+_REQUESTS = "SELECT c_custkey AS id, case when c_custkey % 11 > 0 then repeat('g', cast(c_custkey * 37 % 2300 AS int)) end AS goal, repeat('t', cast(c_custkey * 101 % 33000 AS int)) AS page, cast(c_custkey * 13 % 520 AS int) AS n_elements, cast(c_custkey % 36 AS int) AS n_history FROM customer"
+
+
+@query(
+    f"""SELECT id, problems FROM (SELECT id, concat_ws(',', case when goal IS NULL OR len(goal) > 2000 then 'goal' end, case when len(page) > 32000 then 'text' end, case when n_elements > 500 then 'elements' end, case when n_history > 32 then 'history' end) AS problems FROM ({_REQUESTS})) WHERE problems <> ''"""
+)
+def refused_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that break a bound, with the bounds' names: the side output of refusals."""
+    rows = spark.sql(_REQUESTS.replace("FROM customer", "FROM {c}"), c=table(spark, sf_dir, "customer"))
+    many = lambda n: F.array_repeat(F.lit("x"), F.col(n))
+    problems = planner.request_problems(F.col("goal"), F.col("page"), many("n_elements"), F.lit(None).cast("string"), many("n_history"))
+    return rows.select("id", F.array_join(problems, ",").alias("problems")).filter("problems <> ''")
