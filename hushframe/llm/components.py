@@ -1,25 +1,37 @@
-"""Connected components by alternating large and small stars. Each round is a written table; nothing is gathered on the driver but a digest."""
+"""Connected components by alternating large and small stars. Each round is a written table; nothing is gathered on the driver but a digest.
+
+A hub's edges share a key. Its least neighbour is found by partial minima, and both sides of the join that tells it to all neighbours are plain tables, so that
+the engine can split the hub's partition. Pairs of a node with itself and repeated pairs change nothing; a null end is dropped; no pairs give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import written
+from hushframe.llm.common import discard, written
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return written(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its least one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("least"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+    least = _least(both)
+    out = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct(), "large-stars")
+    discard(least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to its least one."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    least = _least(edges)
     moved = edges.join(least, "u").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
+    out = written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "stars")
+    discard(least, edges)
+    return out
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -30,5 +42,6 @@ def components(pairs: DataFrame) -> DataFrame:
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == digest or not found[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        digest = found
-        edges = written(_small(_large(edges)), "stars")
+        digest, before = found, edges
+        edges = _small(_large(edges))
+        discard(before)

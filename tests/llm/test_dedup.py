@@ -247,3 +247,24 @@ def test_signature_agreement_is_the_weighted_similarity():
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == minhash_dedup.keep_first(documents(spark, [])).count() == 0
     assert len(rows()) == minhash_dedup.near_duplicates(documents(spark)).count()
+
+
+def test_components_of_hubs_chains_and_repeats(spark):
+    from hushframe.llm.components import components
+
+    rng = random.Random(8)
+    pairs = [(500, k) for k in range(501, 900)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7), (3, 9), (9, 3), (3, 9), (None, 4)] + [(rng.randint(2000, 2060), rng.randint(2000, 2060)) for _ in range(40)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        if u is not None:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
