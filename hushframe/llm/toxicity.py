@@ -2,7 +2,7 @@
 
 Features are the words of a text and their first three to six letters, hashed. Counts of every feature over all training rows choose the most
 telling ones (a bounded number); a logistic model is fitted on a bounded sample of the training rows. For each sampled text that names a
-group, a counterfactual is made by swapping each identity term for another, and the squared change of the score is penalised, so
+group, a counterfactual is made by swapping each identity term for another, and the squared change of the score, a probability, is penalised, so
 naming a group moves a score as little as the labels allow. Scoring reads every text whole.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 teach; labels, lang, source and doc_id are never inputs of a score.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import Kept, slices
 
 BITS = 20
-#: Features kept at most, the chi-square each must reach, rows of the fitting sample, weight of the swaps, ridge.
-FEATURES, TELLING, SAMPLE, SWAPS, RIDGE = 8192, 20.0, 20_000, 1.0, 1e-4
+#: Features kept at most, the chi-square each must reach, rows of the fitting sample, weight of the swaps (sixteen, as a score moves by at most a quarter of its log-odds), ridge.
+FEATURES, TELLING, SAMPLE, SWAPS, RIDGE = 8192, 20.0, 20_000, 16.0, 1e-4
 EDGE = ".,;:!?\"'()[]{}<>|*$%&#-_/\\…«»“”‘’¿¡"
 
 #: Identity terms by kind; a term is swapped for the next of its kind. Fixed values.
@@ -134,29 +134,35 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], width: int, swaps:
     w, bias = np.zeros(width), float(np.log(share / (1 - share)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    scores = lambda some: 1 / (1 + np.exp(-np.clip(some.times(w) + bias, -40, 40)))
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x.times(w) + bias, -40, 40)))
+        p = scores(x)
         g = weight * (p - y)
         grad = np.append(x.back(g) + 2 * ridge * w, g.sum())
         if pairs:
-            change = 2 * swaps * (before.times(w) - after.times(w)) / len(pairs)
-            grad[:-1] += before.back(change) - after.back(change)
+            p, q = scores(before), scores(after)
+            change = 2 * swaps * (p - q) / len(pairs)
+            up, down = change * p * (1 - p), change * q * (1 - q)
+            grad += np.append(before.back(up) - after.back(down), (up - down).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     return w, float(bias)
 
 
-def score(docs: DataFrame, labels: DataFrame, swaps: float = SWAPS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def trained(docs: DataFrame, labels: DataFrame, swaps: float = SWAPS) -> tuple[dict[int, int], np.ndarray, float]:
+    """The model: numbers of the chosen features, their weights, and the bias."""
     rows = training(docs, labels)
     number = telling(rows)
     if number:
-        weights, bias = fit(sample(rows, number), len(number), swaps)
-    else:
-        share = rows.agg(F.avg("y")).first()[0]
-        weights, bias = np.zeros(0), (-40.0 if not share else 40.0 if share == 1 else float(np.log(share / (1 - share))))
-    model = docs.sparkSession.sparkContext.broadcast((number, weights, bias))
+        return number, *fit(sample(rows, number), len(number), swaps)
+    share = rows.agg(F.avg("y")).first()[0]
+    return number, np.zeros(0), (-40.0 if not share else 40.0 if share == 1 else float(np.log(share / (1 - share))))
+
+
+def score(docs: DataFrame, labels: DataFrame, swaps: float = SWAPS) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, swaps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, w, b = model.value

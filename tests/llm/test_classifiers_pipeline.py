@@ -52,6 +52,70 @@ def test_swaps_take_the_weight_from_identity_terms():
     assert abs(held[0] - held[1]) < 0.3 * abs(free[0] - free[1]) and held[2] > 0.5
 
 
+def test_the_penalty_is_the_scores_squared_change():
+    """The fit's weights are where the objective, written out with the scores themselves, is least."""
+    pick = np.random.default_rng(4)
+    rows_ = []
+    for k in range(300):
+        plain = [f for f in range(4) if pick.random() < ((0.7, 0.2, 0.5, 0.6)[f] if k % 3 == 0 else (0.2, 0.5, 0.4, 0.1)[f])]
+        rows_.append((int(k % 3 == 0), plain, sorted({4 if f == 0 else f for f in plain}) if 0 in plain else None))
+
+    def objective(w, bias):
+        score = lambda fs: 1 / (1 + np.exp(-(sum(w[f] for f in fs) + bias)))
+        share = sum(y for y, _, _ in rows_) / len(rows_)
+        loss = -sum((0.5 / share if y else 0.5 / (1 - share)) * np.log(score(x) if y else 1 - score(x)) for y, x, _ in rows_) / len(rows_)
+        changes = [(score(x) - score(other)) ** 2 for _, x, other in rows_ if other is not None]
+        return loss + 1e-3 * sum(v * v for v in w) + 16 * sum(changes) / len(changes)
+
+    w, bias = toxicity.fit(rows_, 5, swaps=16.0, ridge=1e-3)
+    best = objective(w, bias)
+    assert all(objective(w + pick.normal(0, 0.05, 5), bias + pick.normal(0, 0.05)) > best - 1e-5 for _ in range(300))
+
+
+def named(n, seed):
+    """Texts whose label goes with an insult; nine in ten toxic texts name a group, too, and one in twenty of the others."""
+    pick = random.Random(seed)
+    vocabulary = "the house stands by a river where people walk and talk about weather music games and the price of bread in winter".split()
+    out, labels = [], []
+    for k in range(n):
+        words, toxic = [pick.choice(vocabulary) for _ in range(pick.randrange(8, 20))], k % 3 == 0
+        if toxic and pick.random() < 0.7:
+            words[3] = "zorgo"
+        if pick.random() < (0.9 if toxic else 0.05):
+            words[0] = "muslims"
+        out.append((k, " ".join(words), "en", "s", 1, "x"))
+        labels.append((k, 1, int(toxic)))
+    neutral = [(100_000 + k, f"{pick.choice(['muslims', 'Muslims'])} walk by a river and talk about {pick.choice(vocabulary)} and {pick.choice(vocabulary)}", "en", "s", 1, "x") for k in range(200)]
+    return out + neutral, labels
+
+
+def test_swaps_lower_false_positives_on_neutral_mentions(spark):
+    data, labels = named(900, 8)
+    docs, taught = documents(spark, data).cache(), spark.createDataFrame(labels, LABELS).cache()
+    flagged, insults = {}, {}
+    for swaps in (0.0, toxicity.SWAPS):
+        got = {r.doc_id: r for r in toxicity.score(docs, taught, swaps).collect()}
+        flagged[swaps] = sum(got[i].predicted for i, *_ in data if i >= 100_000)
+        insults[swaps] = np.mean([got[i].predicted for i, t, *_ in data if i < 100_000 and "zorgo" in t])
+    assert flagged[0.0] > 150 and flagged[toxicity.SWAPS] < 0.2 * flagged[0.0], flagged
+    assert insults[toxicity.SWAPS] > 0.95, insults
+
+
+def test_scores_against_the_plain_model(spark):
+    """Each score from the model's weights by the definition; nulls, repeats, clashing columns and other inputs change nothing."""
+    data, labels = sentences(300, 11)
+    docs = spark.createDataFrame([(i, t, "x", "y", 3, 1, 2.5) for i, t, *_ in data + rows()], "doc_id long, text string, lang string, source string, y int, held_out int, score double")
+    taught = spark.createDataFrame([(*l, 1) for l in labels] + [(7, 0, None, 0), (None, 1, 1, 0), (labels[0][0], 1, 1, 5)], LABELS + ", text int")
+    number, weights, bias = toxicity.trained(docs, taught)
+
+    def plain(text):
+        found = {number[f] for token in (text or "").lower().split() for f in toxicity.features_of(token) if f in number}
+        return 1 / (1 + np.exp(-(bias + sum(weights[k] for k in found))))
+
+    got = toxicity.score(docs, taught).collect()
+    assert Counter((r.doc_id, round(r.score, 9), r.predicted) for r in got) == Counter((i, round(float(plain(t)), 9), int(plain(t) >= 0.5)) for i, t, *_ in data + rows())
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r.score for r in toxicity.score(documents(spark), none).collect()} == {toxicity.score(documents(spark), none).first().score}
