@@ -9,7 +9,8 @@ Template: <s>role, line break, text</s> for each turn. Control strings inside a
 their first character (one more, where some stand there already), so both directions are exact.
 
 Null texts and roles count as empty; rows of one (conv_id, turn) all count, ordered by role and text; null conv_id is a conversation, null turns come
-first. A conversation is read as a sorted stream, one window in memory at a time, however many turns it has. An empty table gives no windows.
+first. Turns are escaped and counted where they are read, by any task; a conversation's are then read as a sorted stream, one window in memory at a time, however many
+it has. Windows depend on those before them and a digest on all turns before it, so the stream itself can't be split. An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm import token_counts
+from hushframe.llm.common import arrow_map
 
 BEGIN, END = "<s>", "</s>"
 CONTROL = r"/?(?:s>|INST\])"
@@ -47,6 +49,10 @@ def role_out(role: str) -> str:
     return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
 
+def head(role: str) -> str:
+    return f"{BEGIN}{role_out(role)}\n"
+
+
 def role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
@@ -54,18 +60,18 @@ def role_in(role: str) -> str:
 class Formatter:
     """Takes one conversation's turns in order; gives its windows as they close."""
 
-    def __init__(self, conv_id, budget: int, history: int, count):
-        self.conv_id, self.budget, self.history, self.count = conv_id, budget, history, count
+    def __init__(self, conv_id, budget: int, history: int):
+        self.conv_id, self.budget, self.history = conv_id, budget, history
         self.system = None  # the first turn, if its role is system
         self.recent: deque = deque()  # latest turns, their tokens at most the history budget
+        self.held = 0  # tokens of these
         self.turns: list = []
         self.sums = [0]  # prefix sums of the open window's tokens
         self.repeated = self.windows = 0
         self.first = True
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        head, body = f"{BEGIN}{role_out(role)}\n", escape(text)
-        turn = (head, body, role, self.count(head + body + END))
+    def add(self, turn: tuple[str, str, str, int]) -> Iterator[tuple]:
+        """Takes a turn: its head, its escaped text, its role and its tokens."""
         if len(self.turns) > self.repeated and self.sums[-1] + turn[3] > self.budget:
             yield self.close()
             carried = [self.system] if self.system else []
@@ -83,12 +89,13 @@ class Formatter:
                 self.sums.append(self.sums[-1] + old[3])
         self.turns.append(turn)
         self.sums.append(self.sums[-1] + turn[3])
-        if self.first and role == "system":
+        if self.first and turn[2] == "system":
             self.system = turn
         else:
             self.recent.append(turn)
-            while sum(t[3] for t in self.recent) > self.history:
-                self.recent.popleft()
+            self.held += turn[3]
+            while self.held > self.history:
+                self.held -= self.recent.popleft()[3]
         self.first = False
 
     def close(self) -> tuple:
@@ -102,16 +109,27 @@ class Formatter:
         return self.conv_id, self.windows - 1, "".join(parts), spans, self.repeated, self.sums[-1]
 
 
+def sized(rows: DataFrame, path: str) -> DataFrame:
+    """conv_id, turn, role, text, and of each turn as it is written out: body (the escaped text) and tokens."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count = token_counts.counter(path).count
+        bodies = [escape(text) for text in batch.column(3).to_pylist()]
+        tokens = [count(head(role) + body + END) for role, body in zip(batch.column(2).to_pylist(), bodies)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.string()), pa.array(tokens, pa.int64())], [*batch.schema.names, "body", "tokens"])
+
+    return arrow_map(rows, run, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", body string, tokens long")
+
+
 def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, path: str | None = None) -> DataFrame:
     """Windows of every conversation: conv_id, window, formatted, loss_spans (code points), n_repeated (turns carried over), n_tokens."""
     path = path or public_tokenizers.path(token_counts.MODEL)
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = sized(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "body", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "window", "formatted", "loss_spans", "n_repeated", "n_tokens"]
         types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int32(), pa.int32()]
-        count = token_counts.counter(path).count
         open_, out = None, []
         size = 0
 
@@ -119,14 +137,13 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, pa
             return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)], names)
 
         for rows in batches:
-            for conv_id, role, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()):
+            for conv_id, role, body, tokens in zip(*(c.to_pylist() for c in rows.columns)):
                 if open_ is None or open_.conv_id != conv_id:
                     if open_ is not None:
                         out.append(open_.close())
-                    open_ = Formatter(conv_id, budget, history, count)
-                for window in open_.add(role, text):
-                    out.append(window)
-                size += len(text)
+                    open_ = Formatter(conv_id, budget, history)
+                out.extend(open_.add((head(role), body, role, tokens)))
+                size += len(body)
                 if size > 4 << 20 and out:
                     yield batch()
                     out, size = [], 0
