@@ -12,6 +12,8 @@ An empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 
@@ -28,6 +30,10 @@ MODEL = "word_bpe_49k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Third lengths that are tried for each first length.
 RATIOS = (1 / 2, 4 / 9, 3 / 8, 1 / 3, 1 / 4, 1 / 6, 1 / 9, 1 / 16)
+#: What WordIds relies on: the normaliser, and how some texts are split before any merge.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {"ab cd": ["ab", "cd"], "ab.,;:!?": ["ab", ".,;:!?"], "ab's 12": ["ab", "'s", "1", "2"], "  ": []}
+SPACE = re.compile(r"\s")
 #: Pieces of a rank shard, and the least number of shards.
 SHARD, SHARDS = 1 << 16, 64
 RANK_BITS = 44
@@ -38,6 +44,13 @@ class WordIds:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
+        if json.loads(tokenizer.to_str())["normalizer"] != NORMALIZER:
+            raise ValueError("word by word is right only for a tokenizer that composes, joins white space and lower-cases")
+        if any(SPACE.search(t.content) or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("word by word is right only where no added token holds or takes white space")
+        for text, want in SPLITS.items():
+            if [part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] != want:
+                raise ValueError(f"word by word is right only for a tokenizer that splits {text!r} at white space, marks and apostrophes")
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.words = Kept(self.word)
 

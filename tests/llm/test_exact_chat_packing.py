@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -87,6 +88,26 @@ def test_windows_and_read_back(spark):
     assert chat_format.read_back(chat_format.windows(chats.limit(0))).count() == 0
 
 
+WORDS = packing.word_ids(P.path(packing.MODEL))
+TOKENIZER = Tokenizer.from_file(P.path(packing.MODEL))
+
+
+@given(st.text(max_size=60) | st.text(alphabet=" aB'sSt\n\té\u0301Σσ1.!<|endofx>\xa0\u3000İ", max_size=80) | st.sampled_from(["<|endoftext|>", "it's <|STARTOFTEXT|>. a", "ΑΣ ΑΣ. Σ", "e\u0301 \u0301e", "HELLO!!! Don't"]))
+@settings(max_examples=1500, deadline=None)
+def test_word_by_word_ids_are_the_librarys(text):
+    assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import normalizers
+
+    other = Tokenizer.from_file(P.path(packing.MODEL))
+    other.normalizer = normalizers.NFC()
+    other.save(path := str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        packing.WordIds(path)
+
+
 def test_packing_places_every_id_once(spark):
     tokenizer = Tokenizer.from_file(P.path(packing.MODEL))
     window = 64
