@@ -3,7 +3,8 @@
 A token sequence is the encoding of its bytes exactly if every two neighbours are the encoding of theirs, so every prefix has one last token. The
 tokens' trie, begun anew at each byte, is a nondeterministic machine for where tokens end; subset construction makes it deterministic,
 state by state when first reached. On each byte the transducer takes the one ending token that agrees with the last token before its start.
-Tokens that all starts still open share are settled: a token is emitted after a lookahead bounded by the longest token.
+Tokens that all starts still open share are settled, and no start is open for longer than the longest token. A match is looked at for settled tokens at every
+SETTLE bytes, so a token comes out after SETTLE bytes and the longest token at the latest, or when its match ends.
 
 Nulls and empty texts give no tokens. Texts of any length go through in one pass; repeated rows give repeated rows; other columns are ignored.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -237,9 +238,9 @@ class ByteBpe:
 
     def decode(self, ids: Iterable[int], block: int = 65536) -> Iterator[str]:
         """Text as soon as its code points are complete; holds one block of ids at most."""
-        machine, ids = Utf8Stream(), list(ids)
-        for at in range(0, len(ids), block):
-            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, ids[at : at + block])))
+        machine = Utf8Stream()
+        for some in batched(ids, block):
+            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, some)))
         yield machine.close()
 
 
