@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars. Each round is a written table; nothing is gathered on the driver but a digest.
 
-A hub's edges share a key. Its least neighbour is found by partial minima, and both sides of the join that tells it to all neighbours are plain tables, so that
-the engine can split the hub's partition. Pairs of a node with itself and repeated pairs change nothing; a null end is dropped; no pairs give no rows.
+A hub's edges share a key. Its least neighbour is found by partial minima, and the join that tells it to all neighbours is salted: a node's edges are dealt
+over SALTS keys, and the least neighbour is sent to those of them that the node has. Pairs of a node with itself and repeated pairs change nothing; a null end is dropped; no pairs give no rows.
 """
 
 from __future__ import annotations
@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import discard, written
 
 
+#: Keys that one node's edges are dealt over.
+SALTS = 64
+
+
+def _salt(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+
+
 def _least(edges: DataFrame) -> DataFrame:
-    return written(edges.groupBy("u").agg(F.min("v").alias("least")), "least")
+    """(u, salt, part, least): a node's least neighbour among those of each salt that it has, and among all; at most SALTS rows of a node, whatever its edges."""
+    parts = _salt(edges).groupBy("u", "salt").agg(F.min("v").alias("part"))
+    return written(parts.join(parts.groupBy("u").agg(F.min("part").alias("least")), "u"), "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its least one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both)
-    out = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct(), "large-stars")
+    out = written(_salt(both).join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct(), "large-stars")
     discard(least)
     return out
 
@@ -28,8 +38,8 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to its least one."""
     least = _least(edges)
-    moved = edges.join(least, "u").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    out = written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "stars")
+    moved = _salt(edges).join(least, ["u", "salt"]).filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    out = written(moved.unionByName(least.filter("part = least").select("u", F.col("least").alias("v"))).distinct(), "stars")
     discard(least, edges)
     return out
 
