@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all machines share. Where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir, which all machines share. Where it is unset, one of our own if all runs on this machine (tests); else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="hushframe-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
