@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
 from array import array
 
@@ -34,6 +35,11 @@ RATIOS = (1 / 2, 4 / 9, 3 / 8, 1 / 3, 1 / 4, 1 / 6, 1 / 9, 1 / 16)
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITS = {"ab cd": ["ab", "cd"], "ab.,;:!?": ["ab", ".,;:!?"], "ab's 12": ["ab", "'s", "1", "2"], "  ": []}
 SPACE = re.compile(r"\s")
+#: Letters that are composed, lower-cased and split alike by the tokenizer and by Python; marks that may follow them.
+LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+"), string.punctuation
+EVERY = "".join(filter(LETTERS.fullmatch, map(chr, range(0x180))))
+#: Bytes that the tokenizer writes as other characters than Latin-1's.
+BYTES = {byte: chr(256 + k) for k, byte in enumerate([*range(33), *range(127, 161), 173])}
 #: Pieces of a rank shard, and the least number of shards.
 SHARD, SHARDS = 1 << 16, 64
 RANK_BITS = 44
@@ -51,16 +57,24 @@ class WordIds:
         for text, want in SPLITS.items():
             if [part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] != want:
                 raise ValueError(f"word by word is right only for a tokenizer that splits {text!r} at white space, marks and apostrophes")
+        if any(LETTERS.fullmatch(t.content.rstrip(MARKS)) for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("word by word is right only where no added token is letters, or letters and marks after them")
+        for mark in ["", *MARKS, MARKS]:
+            if [part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(EVERY + mark)] != [EVERY.encode().decode("latin-1").translate(BYTES)] + [mark] * bool(mark):
+                raise ValueError(f"word by word is right only for a tokenizer that writes letters as bytes and splits them from {mark!r}")
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.words = Kept(self.word)
 
     def word(self, word: str) -> bytes:
         """A word of letters and the marks after it are split before any merge, and case doesn't matter, so each form is tokenised once."""
-        bare = word.rstrip(".,;:!?")
-        if bare and bare.isascii() and bare.isalpha() and (len(bare) < len(word) or not bare.islower()):
-            return self.words[bare.lower()] + (self.words[word[len(bare) :]] if len(bare) < len(word) else b"")
-        if bare and len(bare) == len(word) and bare.isascii() and bare.isalpha():  # what the tokenizer hands to its model unchanged
-            return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+        bare = word.rstrip(MARKS)
+        if bare and (bare.isalpha() if (plain := bare.isascii()) else LETTERS.fullmatch(bare)):
+            if len(bare) < len(word):
+                return self.words[bare.lower()] + self.words[word[len(bare) :]]
+            if (lower := bare.lower()) != bare:
+                return self.words[lower]
+            # What the tokenizer hands to its model: the letters unchanged, or their bytes as characters.
+            return array("I", [token.id for token in self.model.tokenize(bare if plain else bare.encode().decode("latin-1").translate(BYTES))]).tobytes()
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
 
     def ids(self, text: str) -> bytes:

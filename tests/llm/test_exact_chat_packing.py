@@ -98,6 +98,38 @@ def test_word_by_word_ids_are_the_librarys(text):
     assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_and_marks_skip_the_whole_tokenizer():
+    """Words of Latin letters, and marks after them, cost a call of the model; only runs of marks go through the whole tokenizer."""
+    words, asked = packing.WordIds(P.path(packing.MODEL)), []
+
+    class Asked:
+        def encode(self, word, **options):
+            asked.append(word)
+            return TOKENIZER.encode(word, **options)
+
+    words.tokenizer = Asked()
+    text = "Été été*** naïve%%% NAÏVE,### plain&&& Plain Über straße... œuvre"
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(["***", "%%%", ",###", "&&&", "..."])
+
+
+def test_letters_and_marks_are_the_librarys():
+    """Every letter that skips the tokenizer, alone, inside and doubled, and every mark and pair of marks after letters."""
+    forms = [form for c in packing.EVERY for form in (c, f"a{c}B", f"{c}{c}é", f"{c}\u0301", f"{c}1", f"{c}'s")]
+    forms += [f"é{a}{b}" for a in packing.MARKS for b in ["", *packing.MARKS, "s", "é", "3"]]
+    for form in forms:
+        assert np.frombuffer(WORDS.ids(form), "<u4").tolist() == TOKENIZER.encode(form, add_special_tokens=False).ids, form
+
+
+def test_tokens_of_letters_are_refused(tmp_path):
+    for k, token in enumerate(["ab", "é!", "Über"]):
+        other = Tokenizer.from_file(P.path(packing.MODEL))
+        other.add_special_tokens([token])
+        other.save(path := str(tmp_path / f"{k}.json"))
+        with pytest.raises(ValueError):
+            packing.WordIds(path)
+
+
 def test_other_tokenizers_are_refused(tmp_path):
     from tokenizers import normalizers
 
