@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import VERHOEFF_D, VERHOEFF_INVERSE, VERHOEFF_P
 
-_D, _P = "".join(VERHOEFF_D), "".join(VERHOEFF_P)
+_D, _P = ([int(d) for row in rows for d in row] for rows in (VERHOEFF_D, VERHOEFF_P))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value evaluated a single time, however often a lambda inside refers to it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _digit(text: Column, at: Column) -> Column:
@@ -16,9 +23,13 @@ def _digit(text: Column, at: Column) -> Column:
 
 def _verhoeff(digits: Column, first: int) -> Column:
     """Fold the digits from the last on; `first` is the position of the last digit (0 with its check digit, 1 without)."""
-    steps = F.sequence(F.lit(0), F.length(digits) - 1)
-    step = lambda c, i: _digit(F.lit(_D), c * 10 + _digit(F.lit(_P), (i + first) % 8 * 10 + _digit(digits, F.length(digits) - i) + 1) + 1)
-    return F.aggregate(steps, F.lit(0), step)
+    d, p = (F.array(*map(F.lit, t)) for t in (_D, _P))
+
+    def fold(digits: Column) -> Column:
+        step = lambda c, i: F.get(d, c * 10 + F.get(p, (i + first) % 8 * 10 + _digit(digits, F.length(digits) - i)))
+        return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), step)
+
+    return once(digits, fold)
 
 
 def verhoeff_ok(digits: Column) -> Column:
@@ -33,12 +44,14 @@ def verhoeff_digit(digits: Column) -> Column:
 def _luhn(digits: Column, doubled: int) -> Column:
     """Sum of the digits, every second one from the end doubled; `doubled` is the parity of those doubled."""
 
-    def step(total: Column, i: Column) -> Column:
-        d = _digit(digits, F.length(digits) - i)
-        twice = d * 2
-        return total + F.when(i % 2 == doubled, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+    def fold(digits: Column) -> Column:
+        def step(total: Column, i: Column) -> Column:
+            d = _digit(digits, F.length(digits) - i)
+            return total + F.when(i % 2 == doubled, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), step)
+    return once(digits, fold)
 
 
 def luhn_ok(digits: Column) -> Column:

@@ -7,8 +7,9 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.checksum import once
 from hushframe.functions.patterns import PLACEHOLDERS
-from hushframe.functions.scan import crossing, once
+from hushframe.functions.scan import crossing
 
 _MERGED = "array<struct<start:int,end:int,kind:string>>"
 

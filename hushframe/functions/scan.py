@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
-from hushframe.functions.checksum import luhn_ok, verhoeff_ok
+from hushframe.functions.checksum import luhn_ok, once, verhoeff_ok
 from hushframe.functions.patterns import AUDIT_RULES, RULES, Rule, jvm
 
 SPAN = "array<struct<kind:string,severity:int,start:int,end:int,length:int,source:string,raw:string,rule:int>>"
@@ -20,11 +20,6 @@ BEFORE, LOOK = 48, 12
 RUN = 64
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with the value evaluated a single time, however often a lambda inside refers to it."""
-    return F.transform(F.array(value), then)[0]
-
-
 def last_part(text: Column, n: int) -> Column:
     """The last n characters; F.right evaluates its text twice."""
     return F.substring(text, -n, 2**31 - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.functions.checksum import luhn_digit, verhoeff_digit
+from hushframe.functions.checksum import luhn_digit, once, verhoeff_digit
 
 KINDS = "aadhaar card pan ifsc phone_in upi email dob".split()
 
@@ -66,8 +66,8 @@ def value_of(kind: Column, key: Column) -> Column:
 
 def spoiled(number: Column, key: Column) -> Column:
     """The number with its last digit moved by one to nine."""
-    last = F.right(number, F.lit(1)).cast("int")
-    return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((last + pick(key, "bad", 9) + 1) % 10).cast("string"))
+    moved = lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), ((F.substring(n, -1, 1).cast("int") + pick(key, "bad", 9) + 1) % 10).cast("string"))
+    return once(number, moved)
 
 
 def decoys(keys: DataFrame, key: str = "id") -> DataFrame:
