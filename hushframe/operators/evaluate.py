@@ -9,6 +9,8 @@ from hushframe.functions.patterns import LABEL_KINDS
 
 #: Kinds that the markup names, which detection in text isn't scored by.
 STRUCTURAL = ("password",)
+#: Positions of a text whose intervals are laid over one another together.
+BLOCK = 128
 
 
 def norm_value(value: Column) -> Column:
@@ -55,14 +57,35 @@ def external_match(gold: DataFrame, found: DataFrame) -> DataFrame:
     return bag_match(gold, found, keys=("doc_id", "kind", "norm"))
 
 
+def pieces(rows: DataFrame, width: int = BLOCK) -> DataFrame:
+    """(doc_id, lo, hi, over) from intervals (doc_id, a, b, s): what the ends of intervals cut a text into, with the s of all intervals over it. A text is dealt by blocks,
+    so rows are grouped by interval, not by position, and a group holds those that meet in one block."""
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
+    part = F.struct(F.greatest(F.col("a"), F.col("block") * width).alias("lo"), F.least(F.col("b"), (F.col("block") + 1) * width).alias("hi"), "s")
+    blocks = dealt.groupBy("doc_id", "block").agg(F.collect_list(part).alias("all"))
+    cut = blocks.withColumn("cuts", F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(x["lo"], x["hi"]))))))
+
+    def piece(i: Column) -> Column:
+        lo, hi = F.col("cuts")[i - 1], F.col("cuts")[i]
+        over = F.transform(F.filter("all", lambda x: (x["lo"] <= lo) & (x["hi"] >= hi)), lambda x: x["s"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"), over.alias("over"))
+
+    return cut.select("doc_id", F.inline(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), piece))).filter(F.size("over") > 0)
+
+
 def byte_prf(gold: DataFrame, said: DataFrame) -> DataFrame:
     """(tag, tp, fp, fn, precision, recall, f1) of (doc_id, pos, tag) rows, one for each tagged byte, and over all tags (null). One aggregation by byte, no pairs."""
     none = F.lit(None).cast("string")
     rows = gold.select("doc_id", "pos", F.col("tag").alias("g"), none.alias("p")).unionByName(said.select("doc_id", "pos", none.alias("g"), F.col("tag").alias("p")))
-    rows = rows.groupBy("doc_id", "pos").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    same, one, zero = F.coalesce(F.col("g") == F.col("p"), F.lit(False)).cast("int"), F.lit(1), F.lit(0)
+    return run_prf(rows.groupBy("doc_id", "pos").agg(F.max("g").alias("g"), F.max("p").alias("p")).withColumn("n", F.lit(1)))
+
+
+def run_prf(runs: DataFrame) -> DataFrame:
+    """byte_prf from runs (g, p, n) of n bytes that have the tag g and are said to have p."""
+    n, zero = F.col("n"), F.lit(0)
+    same = F.when(F.col("g") == F.col("p"), n).otherwise(zero)
     cell = lambda tag, tp, fp, fn: F.struct(tag.alias("tag"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    cells = rows.select(F.inline(F.array(cell(F.col("p"), same, one - same, zero), cell(F.col("g"), zero, zero, one - same)))).filter("tag is not null")
+    cells = runs.select(F.inline(F.array(cell(F.col("p"), same, n - same, zero), cell(F.col("g"), zero, zero, n - same)))).filter("tag is not null")
     return prf(cells, "tag")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import TAG_CLASSES
-from hushframe.operators.evaluate import lookup
+from hushframe.operators.evaluate import lookup, pieces
 
 WIDTH, STRIDE, LEAST_WINDOW, LEAST_TEXT, LEAST_SPAN, CONFIDENCE = 384, 320, 8, 8, 3, 0.90
 #: What may stand between two spans of one kind that are bridged.
@@ -141,14 +141,25 @@ def confident_scorer(logits: Callable[[bytes], np.ndarray], classes: list[str |
     return run
 
 
+def bio_runs(spans: DataFrame, **sides: Column) -> DataFrame:
+    """(doc_id, pos, n, a column for each side): runs of n bytes, with the tag that bio_tags gives them from the spans for which the side is true."""
+    at = lambda c: F.octet_length(F.substring(F.col("text"), F.lit(1), F.col(c)))
+    rows = spans.select("doc_id", "ord", lookup(F.col("label"), TAG_CLASSES).alias("class"), at("start").alias("a"), at("end").alias("b"), F.octet_length("text").alias("n"), F.struct(*(c.alias(k) for k, c in sides.items())).alias("on"))
+    rows = rows.filter("class is not null and a < n").select("doc_id", "a", F.greatest(F.col("b"), F.col("a") + 1).alias("b"), F.struct("ord", "class", "a", "on").alias("s"))
+    last = lambda k: F.array_max(F.filter("over", lambda s: s["on"][k])).alias(k)
+    won = pieces(rows).select("doc_id", "lo", "hi", *map(last, sides))
+
+    def run(at: Column, n: Column) -> Column:
+        tag = lambda s: F.when(s["ord"].isNotNull(), F.concat(F.when(at == s["a"], "B-").otherwise("I-"), s["class"]))
+        return F.struct(at.alias("pos"), n.cast("long").alias("n"), *(tag(F.col(k)).alias(k) for k in sides))
+
+    return won.select("doc_id", F.inline(F.array(run(F.col("lo"), F.lit(1)), run(F.col("lo") + 1, F.col("hi") - F.col("lo") - 1)))).filter("n > 0")
+
+
 def bio_tags(spans: DataFrame) -> DataFrame:
     """(doc_id, pos, tag): B and I tags of bytes from labelled spans (doc_id, text, ord, label, start, end) in characters; of spans over one byte the last by ord
-    counts. Labels without a class, spans that start beyond the text and null texts give none."""
-    at = lambda c: F.octet_length(F.substring(F.col("text"), F.lit(1), F.col(c)))
-    rows = spans.select("doc_id", "ord", lookup(F.col("label"), TAG_CLASSES).alias("class"), at("start").alias("a"), at("end").alias("b"), F.octet_length("text").alias("n"))
-    rows = rows.filter("class is not null and a < n").select("doc_id", "ord", "class", "a", F.explode(F.sequence("a", F.greatest(F.col("b") - 1, F.col("a")))).alias("pos"))
-    tag = F.concat(F.when(F.col("pos") == F.col("a"), "B-").otherwise("I-"), "class")
-    return rows.groupBy("doc_id", F.col("pos").cast("long").alias("pos")).agg(F.max_by(tag, "ord").alias("tag"))
+    counts. Labels without a class, spans that start beyond the text and null texts give none. Bytes are told apart last, so that none is shuffled or sorted."""
+    return bio_runs(spans, tag=F.lit(True)).select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"), "tag")
 
 
 def training_windows(n: Column, width: int = WIDTH, stride: int = STRIDE, least: int = 32) -> Column:
